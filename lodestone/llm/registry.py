@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontamination, packing, simhash
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash}
+    return {
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op4_simhash": simhash.op4_simhash,
+        "op9_packing": packing.op9_packing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_decontamination": decontamination.OP3_SQL}
