@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash
+from . import decontamination, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_simhash": simhash.op4_simhash,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": decontamination.OP3_SQL}
+    return {"op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL}
