@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, simhash
+from . import decontamination, packing, quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_packing": packing.op9_packing,
     }
 
