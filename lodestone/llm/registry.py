@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, simhash, substring_dedup
+from . import decontamination, packing, quality_rules, sharding, simhash, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -10,13 +10,15 @@ def queries() -> dict:
 
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_warc": warc.op1_warc,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_sharding": sharding.op8_sharding,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL}
