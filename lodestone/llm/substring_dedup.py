@@ -81,94 +81,147 @@ def _running(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def chosen_windows(hashes: np.ndarray, winnow: int = WINNOW) -> np.ndarray:
-    """Places of the hashes that are the smallest of some ``winnow`` successive ones."""
-    if len(hashes) <= winnow:
-        return np.flatnonzero(hashes == hashes.min()) if len(hashes) else np.empty(0, np.int64)
-    low = _running(hashes, winnow, np.minimum)
-    pad = np.zeros(winnow - 1, np.uint64)
-    reach = _running(np.concatenate([pad, low, pad]), winnow, np.maximum)
-    return np.flatnonzero(reach == hashes)
-
-
-def word_hashes(text: bytes) -> tuple[np.ndarray, list[int]]:
-    """Hashes of the lower-cased words, and the number of words of each line."""
-    lines = [line.split() for line in text.lower().split(b"\n")]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for line in lines for w in line], np.uint64), [len(line) for line in lines]
-
-
-def shingles(x: np.ndarray) -> np.ndarray:
-    """The distinct 5-shingle hashes of a line of at least 5 words."""
-    return np.unique(_grams(x, SHINGLE, _A))
-
-
-def signature(s: np.ndarray) -> np.ndarray:
-    """One value a band: the minima of its rows under the fixed hash functions, mixed."""
-    least = (s[:, None] * _MULTIPLY + _ADD)
-    least = (least ^ (least >> np.uint64(31))).min(axis=0).reshape(BANDS, ROWS)
-    bands = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        bands = _mix(bands * _A + least[:, r])
-    return bands
-
-
-def _line_ranges(sizes: list[int], minimum: int) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for n in sizes:
-        if n >= minimum:
-            out.append((at, at + n))
-        at += n
-    return out
+class Words:
+    """The words of a run of texts as one array of hashes. Between texts stands a gap, so
+    that what belongs to a text can be told by place.
+
+    x: word hashes, 0 in gaps; starts, sizes: of each text's words in x; lines: rows
+    (text, start, end) of the lines of MIN_WORDS words or more, start and end in x."""
+
+    def __init__(self, texts: list[bytes]):
+        digest = xxhash.xxh64_intdigest
+        gap = [0] * WINNOW
+        flat: list[int] = []
+        starts, sizes, lines = [], [], []
+        for k, text in enumerate(texts):
+            starts.append(len(flat))
+            for line in text.lower().split(b"\n"):
+                w = line.split()
+                if len(w) >= MIN_WORDS:
+                    lines.append((k, len(flat), len(flat) + len(w)))
+                flat += map(digest, w)
+            sizes.append(len(flat) - starts[-1])
+            flat += gap
+        self.x = np.array(flat, np.uint64)
+        self.starts, self.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
+        self.lines = np.array(lines, np.int64).reshape(-1, 3)
+
+    def inside(self, n: int) -> np.ndarray:
+        """Whether n words of one text start at each place."""
+        many = self.sizes >= n
+        edge = np.zeros(len(self.x) + 1, np.int64)
+        edge[self.starts[many]] += 1
+        edge[self.starts[many] + self.sizes[many] - n + 1] -= 1
+        return np.cumsum(edge)[:-1] > 0
+
+    def line_hashes(self, by: np.uint64) -> np.ndarray:
+        """A hash of all the words of each line, in their order."""
+        if not len(self.lines):
+            return np.empty(0, np.uint64)
+        _, s, e = self.lines.T
+        size = e - s
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        words = self.x[np.repeat(s, size) + place]
+        return _mix(np.add.reduceat(_mix(words * by + place.astype(np.uint64) * _D), first) + size.astype(np.uint64))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and both hashes of the chosen windows."""
+        ok = self.inside(MIN_WORDS)
+        if not ok.any():
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        most = np.uint64(2**64 - 1)
+        grams = _grams(self.x, MIN_WORDS, _A)
+        n = len(grams)
+        hashes = np.where(ok[:n], grams, most)
+        chosen = _winnowed(hashes, self.inside(MIN_WORDS + WINNOW - 1)[: n - WINNOW + 1])
+        # Texts with fewer windows than a winnow has: their smallest one.
+        short = (self.sizes >= MIN_WORDS) & (self.sizes < MIN_WORDS + WINNOW - 1)
+        if short.any():
+            count = self.sizes[short] - MIN_WORDS + 1
+            first = np.cumsum(count) - count
+            at = np.repeat(self.starts[short], count) + np.arange(int(count.sum())) - np.repeat(first, count)
+            least = np.minimum.reduceat(hashes[at], first)
+            chosen = np.r_[chosen, at[hashes[at] == np.repeat(least, count)]]
+        return chosen, grams[chosen], _grams(self.x, MIN_WORDS, _B)[chosen]
+
+    def bands(self) -> np.ndarray:
+        """A row of band keys for each line."""
+        m = len(self.lines)
+        out = np.arange(BANDS, dtype=np.uint64) * np.ones((m, 1), np.uint64)
+        if not m:
+            return out
+        grams = _grams(self.x, SHINGLE, _A)
+        _, s, e = self.lines.T
+        size = e - s - SHINGLE + 1
+        first = np.cumsum(size) - size
+        g = grams[np.repeat(s - first, size) + np.arange(int(size.sum()))]
+        for k in range(BANDS * ROWS):
+            v = g * _MULTIPLY[k] + _ADD[k]
+            v ^= v >> np.uint64(31)
+            band = k // ROWS
+            out[:, band] = _mix(out[:, band] * _A + np.minimum.reduceat(v, first))
+        return out
+
+
+def _winnowed(hashes: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Places whose hash is the smallest of some WINNOW successive ones, of those starts
+    for which ``full`` holds."""
+    if len(hashes) < WINNOW:
+        return np.empty(0, np.int64)
+    low = np.where(full, _running(hashes, WINNOW, np.minimum), np.uint64(0))
+    pad = np.zeros(WINNOW - 1, np.uint64)
+    reach = _running(np.concatenate([pad, low, pad]), WINNOW, np.maximum)
+    return np.flatnonzero((reach == hashes) & (reach > 0))
+
+
+def _slices(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of whole texts of about ``size`` bytes, with the row of their first one."""
+    begin, run, seen = 0, [], 0
+    for k, text in enumerate(utf8_rows(column)):
+        run.append(text)
+        seen += len(text)
+        if seen >= size:
+            yield begin, run
+            begin, run, seen = k + 1, [], 0
+    if run:
+        yield begin, run
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, start, end, h1, h2, bands): lines with bands, windows without."""
     for b in batches:
-        doc_ids = b.column(0)
-        columns: list[list] = [[], [], [], [], [], []]
-        rows = 0
-        for k, text in enumerate(utf8_rows(b.column(1))):
-            x, sizes = word_hashes(text)
-            if len(x) < MIN_WORDS:
+        for begin, texts in _slices(b.column(1)):
+            words = Words(texts)
+            at, w1, w2 = words.windows()
+            line_text, s, e = words.lines.T
+            text = np.r_[np.searchsorted(words.starts, at, "right") - 1, line_text].astype(np.int64)
+            if not len(text):
                 continue
-            w1 = _grams(x, MIN_WORDS, _A)
-            at = chosen_windows(w1)
-            lines = _line_ranges(sizes, MIN_WORDS)
-            columns[0].append(np.full(len(at) + len(lines), k))
-            columns[1].append(np.r_[at, [s for s, _ in lines]])
-            columns[2].append(np.r_[at + MIN_WORDS, [e for _, e in lines]])
-            columns[3].append(np.r_[w1[at], np.array([_grams(x[s:e], e - s, _A)[0] for s, e in lines], np.uint64)])
-            columns[4].append(np.r_[_grams(x, MIN_WORDS, _B)[at], np.array([_grams(x[s:e], e - s, _B)[0] for s, e in lines], np.uint64)])
-            columns[5] += [None] * len(at) + [signature(shingles(x[s:e])).view(np.int64) for s, e in lines]
-            rows += len(at) + len(lines)
-            if rows > 50_000:
-                yield _unit_batch(doc_ids, columns)
-                columns, rows = [[], [], [], [], [], []], 0
-        if rows:
-            yield _unit_batch(doc_ids, columns)
-
-
-def _unit_batch(doc_ids: pa.Array, columns: list[list]) -> pa.RecordBatch:
-    which, start, end = (np.concatenate(c).astype(np.int64) for c in columns[:3])
-    h1, h2 = (np.concatenate(c).astype(np.uint64).view(np.int64) for c in columns[3:5])
-    arrays = [doc_ids.take(pa.array(which)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h1), pa.array(h2), pa.array(columns[5], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2", "bands"])
+            start = np.r_[at, s] - words.starts[text]
+            end = np.r_[at + MIN_WORDS, e] - words.starts[text]
+            keys = words.bands().view(np.int64)
+            offsets = np.r_[np.zeros(len(at), np.int64), np.arange(len(s) + 1) * BANDS]
+            none = np.r_[np.ones(len(at), bool), np.zeros(len(s), bool)]
+            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()), mask=pa.array(none))
+            h1, h2 = (np.r_[w, words.line_hashes(by)].astype(np.uint64).view(np.int64) for w, by in ((w1, _A), (w2, _B)))
+            doc_ids = b.column(0).take(pa.array(text + begin))
+            arrays = [doc_ids, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h1), pa.array(h2), bands]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2", "bands"])
 
 
 def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h1, h2, shingles) of the lines that can be compared; shingles: packed uint64."""
+    """Rows (h1, h2, shingles) of the lines that can be compared; shingles: packed uint64
+    hashes of the 5-shingles, repeats included."""
     for b in batches:
-        rows: list[list] = [[], [], []]
-        for text in utf8_rows(b.column(0)):
-            x, sizes = word_hashes(text)
-            for s, e in _line_ranges(sizes, MIN_WORDS):
-                line = x[s:e]
-                rows[0].append(_grams(line, e - s, _A)[0])
-                rows[1].append(_grams(line, e - s, _B)[0])
-                rows[2].append(shingles(line).tobytes())
-        h1, h2 = (np.array(c, np.uint64).view(np.int64) for c in rows[:2])
-        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(rows[2], pa.binary())], names=["h1", "h2", "shingles"])
+        for _, texts in _slices(b.column(0)):
+            words = Words(texts)
+            if not len(words.lines):
+                continue
+            grams = _grams(words.x, SHINGLE, _A)
+            packed = [grams[s : e - SHINGLE + 1].tobytes() for _, s, e in words.lines.tolist()]
+            h1, h2 = (words.line_hashes(by).view(np.int64) for by in (_A, _B))
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(packed, pa.binary())], names=["h1", "h2", "shingles"])
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -208,12 +261,13 @@ def _verify(similarity: float):
                     yield from done(ids, sets)
                     now, ids, sets = (key, a, c), [], []
                 ids.append((one, two))
-                sets.append(np.frombuffer(packed, np.uint64))
+                sets.append(packed)
         yield from done(ids, sets)
 
     def done(ids: list, sets: list) -> Iterator[pa.RecordBatch]:
         if len(ids) > 1:
-            pairs = [(ids[i], ids[j]) for i, j in _similar(sets, similarity)]
+            found = _similar([np.unique(np.frombuffer(p, np.uint64)) for p in sets], similarity)
+            pairs = [(ids[i], ids[j]) for i, j in found]
             if pairs:
                 kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
                 ends = [[{"h1": p[k][0], "h2": p[k][1]} for p in pairs] for k in (0, 1)]
@@ -226,14 +280,14 @@ def line_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, si
     """(a, b): verified links between different lines, as structs of the line's hashes.
     ``lines`` has a row per distinct line: h1, h2, doc_id (one that holds it), bands."""
     postings = lines.select("h1", "h2", F.explode("bands").alias("band"))
-    sizes = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = materialize(postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "paragraph-sizes")
     met = materialize(postings.join(sizes, "band"), "paragraph-lists")
     want = met.select("h1", "h2").distinct()
     holders = lines.join(want, ["h1", "h2"]).select(F.col("doc_id").alias("__holder")).distinct()
     texts = docs.join(holders, docs[id_col] == F.col("__holder"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
     found = texts.mapInArrow(_line_shingles, "h1 long, h2 long, shingles binary")
     # Only lines that met another; one row each.
-    sets = found.join(want, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("shingles").alias("shingles"))
+    sets = found.join(want, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     dealt = met.withColumn("blocks", F.ceil(F.col("n") / list_cap))
     dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h1", "h2"), "blocks")).otherwise(F.lit(0)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -262,7 +316,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("doc_id", "start")
 
     shared = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
-    shared = shared.filter("first.doc_id != last").select("h1", "h2", "first")
+    # Written, so that the join deals both sides anew and splits a hot window's rows.
+    shared = materialize(shared.filter("first.doc_id != last").select("h1", "h2", "first"), "windows")
     repeated = windows.join(shared, ["h1", "h2"]).select("doc_id", "start", "end", "first", (F.col("doc_id") != F.col("first.doc_id")).alias("removed"))
 
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"))
