@@ -31,6 +31,7 @@ FRAME_BYTES = 512 * 1024
 BUNDLE_BYTES = 64 * 1024 * 1024
 #: Payloads of fewer bytes are always written.
 REVISIT_BYTES = 100
+MAX_READERS = 20_000
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -210,7 +211,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    # A row stands for a bundle of megabytes: dealt by number, as sizes of rows say nothing.
+    tasks = max(1, min(bundles.count(), MAX_READERS))
+    return bundles.repartition(tasks).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def _row(head: dict, block: bytes) -> tuple:
