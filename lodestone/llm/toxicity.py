@@ -292,13 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, chosen by a hash of
     their id, that aren't held out and whose text has at most ``max_chars`` characters."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out("doc_id"))
-    usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(known, "doc_id")
-    rows = []
+    known = known.filter(~held_out("doc_id")).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    # Ids first: texts move only for the rows that teach. A hash cut at a share that the
+    # counts give leaves little more than those rows for the ordering to choose from.
+    ids = usable.select("doc_id").join(known, "doc_id").distinct()
+    counts = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = None
     for is_toxic, most in ((True, max_toxic), (False, max_clean)):
-        part = usable.filter((F.col("toxic") > 0) == is_toxic)
-        rows += part.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
-    return train([words(r.text.encode()) for r in rows], np.array([r.toxic > 0 for r in rows], float))
+        share = int(1e6 * min(1.0, 1.3 * most / max(1, counts.get(is_toxic, 0)) + 1e-6))
+        part = ids.filter((F.col("toxic") == is_toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = part if chosen is None else chosen.union(part)
+    # At most max_toxic + max_clean ids, whatever the input.
+    rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * (max_toxic + max_clean)).collect()
+    rows.sort(key=lambda r: (-r.toxic, r.doc_id, r.text))
+    return train([words(r.text.encode()) for r in rows], np.array([r.toxic for r in rows], float))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
