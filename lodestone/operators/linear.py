@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
+from .optimizers import minimize
 from .preprocessing import gram
 
 
@@ -38,7 +39,8 @@ def moments(df: DataFrame, columns: list[str], target: str, fit_intercept: bool
 @dataclass
 class LinearRegression:
     """Least squares; ``alpha`` and ``l1_ratio`` add the elastic-net penalty
-    (alpha * (l1_ratio * |w| + (1 - l1_ratio) * w'w)) / 2n."""
+    (alpha * (l1_ratio * |w| + (1 - l1_ratio) * w'w)) / 2n, or with ``per_row``
+    alpha * (l1_ratio * |w| + (1 - l1_ratio) * w'w / 2)."""
 
     columns: list[str]
     target: str
@@ -47,6 +49,7 @@ class LinearRegression:
     positive: bool = False
     fit_intercept: bool = True
     normalize: bool = False
+    per_row: bool = False
     tol: float = 1e-10
     max_iter: int = 10_000
     coef: np.ndarray | None = field(default=None, init=False)
@@ -57,7 +60,8 @@ class LinearRegression:
         a, b = m.xx / np.outer(scale, scale), m.xy / scale
         if self.l1_ratio == 0 and not self.positive:
             return np.linalg.lstsq(a + self.alpha * np.eye(len(b)), b, rcond=None)[0] / scale
-        l1, l2, w = self.alpha * self.l1_ratio / 2, self.alpha * (1 - self.l1_ratio), np.zeros(len(b))
+        rows = m.n if self.per_row else 1
+        l1, l2, w = self.alpha * self.l1_ratio * (rows if self.per_row else 0.5), self.alpha * (1 - self.l1_ratio) * rows, np.zeros(len(b))
         for _ in range(self.max_iter):
             old = w.copy()
             for j in range(len(b)):
@@ -84,14 +88,109 @@ def ridge(columns, target, alpha=1.0, **kw):
     return LinearRegression(columns, target, alpha, 0.0, **kw)
 
 
+def elastic_net(columns, target, alpha=1.0, l1_ratio=0.5, **kw):
+    return LinearRegression(columns, target, alpha, l1_ratio, per_row=True, **kw)
+
+
 def lasso(columns, target, alpha=1.0, **kw):
-    return LinearRegression(columns, target, alpha, 1.0, **kw)
+    return elastic_net(columns, target, alpha, 1.0, **kw)
+
+
+def alpha_grid(m: Moments, l1_ratio: float = 1.0, n: int = 100, eps: float = 1e-3) -> list[float]:
+    """Descending alphas from the smallest that leaves every coefficient at zero."""
+    top = float(np.abs(m.xy).max(initial=0)) / max(m.n * l1_ratio, 1e-300)
+    return [float(a) for a in np.geomspace(max(top, 1e-300), max(top * eps, 1e-300), n)]
+
+
+def enet_path(df: DataFrame, columns: list[str], target: str, alphas: list[float] | None = None, l1_ratio: float = 0.5, fit_intercept: bool = False, positive: bool = False) -> list[tuple[float, np.ndarray]]:
+    """Coefficients for each alpha from one scan; the columns aren't centred."""
+    m = moments(df, columns, target, fit_intercept)
+    chosen = alpha_grid(m, l1_ratio) if alphas is None else alphas
+    return [(a, elastic_net(columns, target, a, l1_ratio, positive=positive).fit_moments(m).coef) for a in chosen]
+
+
+def lasso_path(df: DataFrame, columns: list[str], target: str, alphas: list[float] | None = None, **kw) -> list[tuple[float, np.ndarray]]:
+    return enet_path(df, columns, target, alphas, 1.0, **kw)
+
+
+@dataclass
+class MultiTaskElasticNet:
+    """Several targets that share which columns count: 1/2n |Y - XW|^2 + alpha * (l1_ratio *
+    sum of the norms of W's rows + (1 - l1_ratio) / 2 * |W|^2), by descent over rows of W on the
+    Gram matrix of one scan. coef has a row for each target."""
+
+    columns: list[str]
+    targets: list[str]
+    alpha: float = 1.0
+    l1_ratio: float = 0.5
+    fit_intercept: bool = True
+    tol: float = 1e-10
+    max_iter: int = 10_000
+    coef: np.ndarray | None = field(default=None, init=False)
+    intercept: np.ndarray | None = field(default=None, init=False)
+
+    def fit(self, df: DataFrame) -> MultiTaskElasticNet:
+        d, work = len(self.columns), df.select(F.lit(1.0).alias("__one"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate([*self.columns, *self.targets])])
+        g = gram(work, work.columns)
+        n = g[0, 0]
+        mean = g[0, 1:] / max(n, 1) if self.fit_intercept else np.zeros(len(g) - 1)
+        c = g[1:, 1:] - n * np.outer(mean, mean)
+        a, b, w = c[:d, :d], c[:d, d:], np.zeros((d, len(self.targets)))
+        l1, l2 = self.alpha * self.l1_ratio * n, self.alpha * (1 - self.l1_ratio) * n
+        for _ in range(self.max_iter):
+            old = w.copy()
+            for j in range(d):
+                rho = b[j] - a[j] @ w + a[j, j] * w[j]
+                norm = float(np.sqrt(rho @ rho))
+                w[j] = rho * max(1 - l1 / norm, 0) / (a[j, j] + l2) if norm and a[j, j] + l2 else 0.0
+            if np.abs(w - old).max(initial=0) <= self.tol * max(1.0, np.abs(w).max(initial=0)):
+                break
+        self.coef, self.intercept = w.T, mean[d:] - mean[:d] @ w
+        return self
+
+    def predict(self, df: DataFrame, prefix: str = "prediction") -> DataFrame:
+        x = [F.col(c).cast("double") for c in self.columns]
+        return df.withColumns({f"{prefix}_{k}": dot(x, [float(v) for v in w]) + float(i) for k, (w, i) in enumerate(zip(self.coef, self.intercept))})
+
+
+def multi_task_lasso(columns, targets, alpha=1.0, **kw):
+    return MultiTaskElasticNet(columns, targets, alpha, 1.0, **kw)
+
+
+@dataclass
+class GradientRegression:
+    """Least squares with the penalty of LinearRegression by any method of optimizers.minimize.
+    One scan gives the Gram matrix, from which every step takes its loss and gradient; columns
+    are scaled to unit variance while it runs."""
 
+    columns: list[str]
+    target: str
+    alpha: float = 0.0
+    l1_ratio: float = 0.0
+    method: str = "lbfgs"
+    iterations: int = 1000
+    options: dict = field(default_factory=dict)
+    coef: np.ndarray | None = field(default=None, init=False)
+    intercept: float = field(default=0.0, init=False)
+
+    def fit(self, df: DataFrame) -> GradientRegression:
+        m = moments(df, self.columns, self.target)
+        n = max(m.n, 1)
+        s, unit = np.sqrt(np.maximum(np.diag(m.xx) / n, 1e-300)), np.sqrt(max(m.yy / n, 1e-300))
+        a, b = m.xx / np.outer(s, s) / n, m.xy / s / unit / n
+
+        def loss(w):
+            c = w * unit / s  # the coefficients of the columns as they are
+            penalty = self.alpha * (self.l1_ratio * np.abs(c).sum() + (1 - self.l1_ratio) * c @ c) / (2 * n * unit**2)
+            slope = self.alpha * (self.l1_ratio * np.sign(c) + 2 * (1 - self.l1_ratio) * c) / (2 * n * unit * s)
+            return 0.5 * w @ a @ w - b @ w + penalty, a @ w - b + slope
+
+        w, _ = minimize(loss, np.zeros(len(b)), self.method, self.iterations, 1e-10, **self.options)
+        self.coef = w * unit / s
+        self.intercept = m.y_mean - float(m.mean @ self.coef)
+        return self
 
-def lasso_path(df: DataFrame, columns: list[str], target: str, alphas: list[float], l1_ratio: float = 1.0) -> list[tuple[float, np.ndarray]]:
-    """Coefficients for each alpha from one scan."""
-    m = moments(df, columns, target)
-    return [(a, LinearRegression(columns, target, a, l1_ratio).fit_moments(m).coef) for a in alphas]
+    predict = LinearRegression.predict
 
 
 @dataclass

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import interpolate as I
+from ..operators import gaussian_process as G
+from ..operators import kdtree as T
 from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import neighbors as N
+from ..operators import neural as U
 from ..operators import preprocessing as P
+from ..operators import svm as V
 from ..sources import datasets as D
+from ..streaming import partial_fit as W
 from . import selection as S
 
 QUERIES: dict = {}
@@ -368,3 +376,94 @@ def make_blobs(spark, sf):
 @query()
 def make_regression(spark, sf):
     return D.make_regression(spark, 1000, 4, 2, 1.0, 0.1, 3)
+
+
+_ONE = "(SELECT count(*) AS n, covar_pop(l_extendedprice, l_quantity) * count(*) AS b, covar_pop(l_discount, l_quantity) * count(*) AS b2, var_pop(l_quantity) * count(*) AS a FROM lineitem)"
+
+
+@query(f"SELECT 0 AS k, round(sign(b) * greatest(abs(b) - 50000 * n, 0) / (a + 50000 * n), 6) AS coef FROM {_ONE}")
+def elastic_net(spark, sf):
+    return _coefs(spark, L.elastic_net(["l_quantity"], "l_extendedprice", 1e5).fit(_t(spark, sf, "lineitem")).coef)
+
+
+@query(f"SELECT k, round(CASE k WHEN 0 THEN b ELSE b2 END * greatest(1 - 50 * n / sqrt(b * b + b2 * b2), 0) / (a + 50 * n), 6) AS coef FROM {_ONE}, (SELECT unnest([0, 1]) AS k)")
+def multi_task_elastic_net(spark, sf):
+    return _coefs(spark, L.MultiTaskElasticNet(["l_quantity"], ["l_extendedprice", "l_discount"], 100.0).fit(_t(spark, sf, "lineitem")).coef)
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS coef, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
+def gradient_regression(spark, sf):
+    m = L.GradientRegression(["l_quantity"], "l_extendedprice").fit(_t(spark, sf, "lineitem"))
+    return spark.createDataFrame([(round(float(m.coef[0]), 3), round(m.intercept, 2))], "coef double, intercept double")
+
+
+def _parts(spark, sf):
+    x0, x1 = (F.col("p_size") - 25) / 25, (F.col("p_retailprice") - 1500) / 500
+    return _t(spark, sf, "part").select("p_partkey", x0.alias("x0"), x1.alias("x1"), (x0 * x0 + x1 * x1 < 1).cast("double").alias("y"), (x0 - 2 * x1).alias("z"))
+
+
+@query()
+def svc(spark, sf):
+    df = _parts(spark, sf)
+    return V.SVC(["x0", "x1"], "y", "p_partkey", c=10.0, gamma=1.0).fit(df).predict(df).select("p_partkey", "y", "prediction")
+
+
+@query()
+def svr(spark, sf):
+    df = _parts(spark, sf)
+    return _r(V.SVR(["x0", "x1"], "z", "p_partkey", "linear", c=10.0).fit(df).predict(df), "p_partkey", digits=2, prediction="prediction")
+
+
+@query()
+def gaussian_process(spark, sf):
+    df = _t(spark, sf, "nation")
+    m = G.GaussianProcess(["n_nationkey"], "n_regionkey", "n_nationkey", G.Constant(1.0) * G.RBF(2.0) + G.White(0.1)).fit(df)
+    return _r(m.predict(df), "n_nationkey", digits=4, mean="prediction", std="prediction_std")
+
+
+@query()
+def mlp_classifier(spark, sf):
+    df = _parts(spark, sf)
+    return U.MLPClassifier(["x0", "x1"], "y", (8,), "tanh", "lbfgs", max_iter=40).fit(df).predict(df).select("p_partkey", "y", "prediction")
+
+
+@query()
+def mlp_regressor(spark, sf):
+    df = _parts(spark, sf)
+    return _r(U.MLPRegressor(["x0", "x1"], "z", (8,), "tanh", "adam", rate=0.02, max_iter=20).fit(df).predict(df), "p_partkey", digits=3, prediction="prediction")
+
+
+_NET = '{"params": {"activation": "tanh"}, "coefs_": [[[0.5, -1.0], [0.25, 2.0]], [[1.5], [-0.75]]], "intercepts_": [[0.1, -0.2], [0.3]]}'
+
+
+@query("""SELECT p_partkey, round(0.3::DOUBLE + 1.5 * tanh(0.1::DOUBLE + 0.5 * x0 + 0.25 * x1) - 0.75 * tanh(-0.2::DOUBLE - x0 + 2 * x1), 6) AS v
+FROM (SELECT p_partkey, (p_size - 25) / 25.0::DOUBLE AS x0, (p_retailprice - 1500) / 500 AS x1 FROM part)""")
+def mlp_from_json(spark, sf):
+    return _r(U.MLPRegressor(["x0", "x1"], "z").load(_NET).predict(_parts(spark, sf)), "p_partkey", v="prediction")
+
+
+@query()
+def multinomial_logistic(spark, sf):
+    df = _t(spark, sf, "lineitem").select(*ITEM, (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), "l_returnflag")
+    m = U.multinomial_logistic(["q", "d"], "l_returnflag", 1.0, 30).fit(df)
+    return m.predict(df).select(*ITEM, "prediction")
+
+
+_FLAT = "sqrt((a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal) + (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey))"
+
+
+@query(f"""SELECT query_id, neighbor_id, round(d, 6) AS distance, rank::INT AS rank FROM (
+  SELECT a.c_custkey AS query_id, b.c_custkey AS neighbor_id, {_FLAT} AS d, row_number() OVER (PARTITION BY a.c_custkey ORDER BY {_FLAT}, b.c_custkey) AS rank
+  FROM customer a, customer b WHERE a.c_custkey % 20 = 0) WHERE rank <= 4""")
+def kd_tree(spark, sf):
+    df = _t(spark, sf, "customer")
+    return _r(T.tree_neighbors(df, df.filter("c_custkey % 20 = 0"), "c_custkey", ["c_acctbal", "c_nationkey"], 4), "query_id", "neighbor_id", "rank", distance="distance")
+
+
+@query('SELECT c AS "column", count(v) AS n, round(avg(v), 6) AS mean, round(var_pop(v), 4) AS var FROM (SELECT \'value\' AS c, value AS v FROM events) GROUP BY 1')
+def streaming_moments(spark, sf):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    path = f"{shared}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_t(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    W.moments_sink(stream, ["value"], path).awaitTermination()
+    return W.read_moments(spark, path).select("column", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
