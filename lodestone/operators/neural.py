@@ -116,8 +116,9 @@ class Steps:
         theta += self.momentum * m - self.rate * grad if self.nesterov else m
 
 
-def tree_sum(parts: DataFrame, width: int, fan: int = 16) -> np.ndarray:
-    """Sum of the vectors (as bytes) of column ``v``, added up in ``fan`` tasks first."""
+def tree_sum(parts: DataFrame, width: int, count: int, fan: int = 16) -> np.ndarray:
+    """Sum of the vectors (as bytes) of column ``v``; over ``fan`` of them are added up in that
+    many tasks first."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(width)
@@ -126,7 +127,7 @@ def tree_sum(parts: DataFrame, width: int, fan: int = 16) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pd.DataFrame({"v": [total.tobytes()]})
 
-    rows = parts.repartition(fan).mapInPandas(add, "v binary").collect()
+    rows = (parts.repartition(fan).mapInPandas(add, "v binary") if count > fan else parts).collect()
     return np.sum([np.frombuffer(r.v) for r in rows], axis=0) if rows else np.zeros(width)
 
 
@@ -187,6 +188,7 @@ class MLP:
             self.layers = Layers([len(self.columns), *self.hidden, n], self.activation, output)
             self.theta = self.layers.start(self.seed)
             self._state, self._t, self._rate = np.zeros((2, self.layers.size)), 0, self.rate
+        self._tasks = work.rdd.getNumPartitions()
 
     def _arrays(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pdf.iloc[:, :-1].to_numpy(float), self.encode(pdf["y"])
@@ -202,7 +204,7 @@ class MLP:
                 total += np.r_[loss, len(x), grad]
             yield pd.DataFrame({"v": [total.tobytes()]})
 
-        got = tree_sum(work.mapInPandas(sums, "v binary"), layers.size + 2)
+        got = tree_sum(work.mapInPandas(sums, "v binary"), layers.size + 2, self._tasks)
         sent.unpersist()
         n, w = max(got[1], 1.0), layers.penalized(theta)
         return (got[0] + self.alpha / 2 * (w @ w)) / n, (got[2:] + self.alpha * w) / n, got[1]
@@ -227,7 +229,7 @@ class MLP:
                 n += len(x)
             yield pd.DataFrame({"v": [np.r_[loss, n, t * n, state.ravel() * n].tobytes()]})
 
-        got = tree_sum(work.mapInPandas(train, "v binary"), 3 * layers.size + 3)
+        got = tree_sum(work.mapInPandas(train, "v binary"), 3 * layers.size + 3, self._tasks)
         sent.unpersist()
         if got[1]:
             state = (got[3:] / got[1]).reshape(3, -1)
