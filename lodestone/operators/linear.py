@@ -278,16 +278,33 @@ class GaussianNB:
     smoothing: float = 1e-9
     priors: list[float] | None = None
     table: list = field(default_factory=list, init=False)
+    seen: dict = field(default_factory=dict, init=False)
 
     def statistics(self, df: DataFrame) -> DataFrame:
         stats = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in self.columns for n, f in (("mean", F.avg), ("var", F.var_pop))]
         return df.groupBy(F.col(self.target).alias("label")).agg(F.count("*").alias("n"), *stats)
 
     def fit(self, df: DataFrame) -> GaussianNB:
-        rows = self.statistics(df).orderBy("label").collect()
-        most = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in self.columns]).first()
-        extra, total = self.smoothing * max(most[c] or 0.0 for c in self.columns), sum(r.n for r in rows)
-        self.table = [(r.label, self.priors[k] if self.priors else r.n / total, [(r[f"mean_{c}"], r[f"var_{c}"] + extra or 1e-300) for c in self.columns]) for k, r in enumerate(rows)]
+        self.seen = {}
+        return self.partial_fit(df)
+
+    def partial_fit(self, df: DataFrame) -> GaussianNB:
+        """Merges the counts, means and squared gaps of each class of a batch."""
+        for r in self.statistics(df).collect():
+            mean, var = (np.array([r[f"{s}_{c}"] or 0.0 for c in self.columns]) for s in ("mean", "var"))
+            n, mean0, sq = self.seen.get(r.label, (0, np.zeros(len(mean)), np.zeros(len(mean))))
+            total, gap = n + r.n, mean - mean0
+            self.seen[r.label] = total, mean0 + gap * r.n / total, sq + var * r.n + gap * gap * n * r.n / total
+        total = sum(n for n, _, _ in self.seen.values())
+        if not total:
+            raise ValueError("there are no rows to fit")
+        centre = sum(n * mean for n, mean, _ in self.seen.values()) / total
+        spread = sum(sq + n * (mean - centre) ** 2 for n, mean, sq in self.seen.values()) / total
+        extra = self.smoothing * float(spread.max())
+        self.table = [
+            (label, self.priors[k] if self.priors else n / total, [(m, v / n + extra or 1e-300) for m, v in zip(mean, sq)])
+            for k, (label, (n, mean, sq)) in enumerate(sorted(self.seen.items()))
+        ]
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:

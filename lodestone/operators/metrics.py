@@ -49,13 +49,21 @@ def averaged(scores: DataFrame, average: str = "macro") -> DataFrame:
 
 
 def binary_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
-    """(threshold, tps, fps): cumulative counts at each distinct score, from the highest.
-    Rows are summed by score first; the window runs over distinct scores."""
-    by = df.groupBy(F.col(score).alias("threshold")).agg(
+    """(threshold, tps, fps): cumulative counts at each distinct score, from the highest. Rows
+    are summed by score first; scores are dealt into ranges, and a range starts from the sums
+    of those above it, so that no task sees all scores. Rows without a score are left out."""
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(true) == positive, _w(weight)).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col(true) == positive, 0.0).otherwise(_w(weight))).alias("fp")
     )
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("threshold", F.sum("tp").over(down).alias("tps"), F.sum("fp").over(down).alias("fps"))
+    n = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(by.select(F.col("threshold").cast("double").alias("t")).approxQuantile("t", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    at = F.size(F.filter(F.lit(edges), lambda e: e >= F.col("threshold").cast("double"))) if edges else F.lit(0)
+    ranged = by.withColumn("range", at)
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f")).select("range", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}0") for c in "tf"])
+    down = Window.partitionBy("range").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.join(F.broadcast(starts), "range")  # a row for each range, at most n
+    return sums.select("threshold", (F.col("t0") + F.sum("tp").over(down)).alias("tps"), (F.col("f0") + F.sum("fp").over(down)).alias("fps"))
 
 
 def roc_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
@@ -98,3 +106,44 @@ def regression_scores(df: DataFrame, true: str, predicted: str, weight: str | No
     total = F.sum(w * y * y) - F.sum(w) * mean * mean
     sq = F.sum(w * e * e)
     return df.agg((sq / F.sum(w)).alias("mse"), (F.sum(w * F.abs(e)) / F.sum(w)).alias("mae"), (1 - sq / F.greatest(total, F.lit(1e-20))).alias("r2"))
+
+
+def type_of_target(df: DataFrame, targets: list[str]) -> str:
+    """binary (one column of at most two values), multilabel-indicator (several columns of zeros
+    and ones) or unknown. Nulls aren't values."""
+    row = df.agg(*[F.count_distinct(F.col(t)).alias(f"n{k}") for k, t in enumerate(targets)] if len(targets) == 1 else [F.bool_and(F.col(t).isin(0, 1)).alias(f"n{k}") for k, t in enumerate(targets)]).first()
+    if len(targets) == 1:
+        return "binary" if row[0] <= 2 else "unknown"
+    return "multilabel-indicator" if targets and all(row) else "unknown"
+
+
+def is_binarized(df: DataFrame, targets: list[str]) -> bool:
+    """Whether all values are 0 or 1; true for an empty table."""
+    return all(v is not False for v in df.agg(*[F.bool_and(F.col(t).isin(0, 1)).alias(f"b{k}") for k, t in enumerate(targets)]).first())
+
+
+def log_loss(df: DataFrame, true: str, probability: str, weight: str | None = None, eps: float = 1e-15) -> DataFrame:
+    """Mean of -(y log p + (1 - y) log(1 - p)), p kept within eps of 0 and 1."""
+    p, y = F.least(F.greatest(F.col(probability), F.lit(eps)), F.lit(1 - eps)), F.col(true).cast("double")
+    return df.agg((F.sum(-_w(weight) * (y * F.log(p) + (1 - y) * F.log(1 - p))) / F.sum(_w(weight))).alias("log_loss"))
+
+
+def cross_entropy(df: DataFrame, true: str, probabilities: str, weight: str | None = None, eps: float = 1e-15) -> DataFrame:
+    """Mean of -log of the probability of the true class, whose number (from 0) picks it from an array."""
+    p = F.element_at(F.col(probabilities), (F.col(true) + 1).cast("int"))
+    return df.agg((F.sum(-_w(weight) * F.log(F.least(F.greatest(p, F.lit(eps)), F.lit(1.0)))) / F.sum(_w(weight))).alias("cross_entropy"))
+
+
+def averaged_binary(metric, df: DataFrame, pairs: list[tuple[str, str]], average: str = "macro") -> float:
+    """A ranking metric over several (true, score) columns: micro pools their rows, macro is the
+    mean over the columns, weighted counts each by its positives."""
+    if average == "micro":
+        pooled = df.select(F.explode(F.array(*[F.struct(F.col(t).cast("double").alias("t"), F.col(s).cast("double").alias("s")) for t, s in pairs])).alias("r")).select("r.*")
+        return float(metric(pooled, "t", "s").first()[0])
+    values = [float(metric(df, t, s).first()[0]) for t, s in pairs]
+    if average == "macro":
+        return sum(values) / len(values)
+    if average != "weighted":
+        raise ValueError(f"unknown average {average!r}")
+    row = df.agg(*[F.sum((F.col(t) == 1).cast("double")).alias(f"n{k}") for k, (t, _) in enumerate(pairs)]).first()
+    return sum(n * v for n, v in zip(row, values)) / sum(row)

@@ -70,8 +70,21 @@ class _Affine(Operator):
 
 @dataclass
 class MinMaxScaler(_Affine):
+    """Each column onto [low, high]; ``partial_fit`` widens the ranges by a batch."""
+
     low: float = 0.0
     high: float = 1.0
+    ranges: dict = field(default_factory=dict, init=False)
+
+    def partial_fit(self, df: DataFrame):
+        row = df.agg(*[f(present(c)).alias(f"{c}__{f.__name__}") for c in self.columns for f in (F.min, F.max)]).first()
+        for c in self.columns:
+            if (lo := row[f"{c}__min"]) is not None:
+                before = self.ranges.get(c, (lo, lo))
+                self.ranges[c] = min(lo, before[0]), max(row[f"{c}__max"], before[1])
+            shift, scale = self.learn(self.ranges.get(c, (None, None)))
+            self.shift[c], self.scale[c] = float(shift), float(scale)
+        return self
 
     def statistics(self, x):
         return [F.min(x), F.max(x)]
@@ -116,12 +129,22 @@ class StandardScaler(_Affine):
 
 @dataclass
 class MaxAbsScaler(_Affine):
+    """Each column over its largest magnitude; ``partial_fit`` raises that by a batch."""
+
+    largest: dict = field(default_factory=dict, init=False)
+
     def statistics(self, x):
         return [F.max(F.abs(x))]
 
     def learn(self, values):
         return 0.0, values[0]
 
+    def partial_fit(self, df: DataFrame):
+        row = df.agg(*[F.max(F.abs(present(c))).alias(c) for c in self.columns]).first()
+        for c in self.columns:
+            self.largest[c] = max(row[c] or 0.0, self.largest.get(c, 0.0))
+            self.shift[c], self.scale[c] = 0.0, self.largest[c] or 1.0
+        return self
 
 
 @dataclass
@@ -155,6 +178,46 @@ class Normalizer(Operator):
         return {c: present(c) / F.when(size > 0, size).otherwise(1.0) for c in self.columns}
 
 
+@dataclass
+class ColumnNormalizer(_Affine):
+    """Each column over its l1, l2 or max norm; a zero column stays."""
+
+    norm: str = "l2"
+
+    def statistics(self, x):
+        return [{"l1": F.sum(F.abs(x)), "l2": F.sqrt(F.sum(x * x)), "max": F.max(F.abs(x))}[self.norm]]
+
+    def learn(self, values):
+        return 0.0, values[0]
+
+
+@dataclass
+class KernelCenterer(Operator):
+    """Centres a kernel matrix in long form, a row for each (i, j, k). Fitted column means stay a
+    table that is joined by j; rows of new points are centred by their own means."""
+
+    i: str = "i"
+    j: str = "j"
+    k: str = "k"
+    means: DataFrame | None = field(default=None, init=False)
+    total: float = field(default=0.0, init=False)
+
+    def fit(self, df: DataFrame):
+        self.means = df.groupBy(self.j).agg(F.avg(present(self.k)).alias("__mean"))
+        self.total = float(df.agg(F.avg(present(self.k))).first()[0] or 0.0)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = df.groupBy(self.i).agg(F.avg(present(self.k)).alias("__row"))
+        joined = df.join(self.means, self.j).join(rows, self.i)
+        return joined.withColumn(self.k, present(self.k) - F.col("__mean") - F.col("__row") + self.total).select(*df.columns)
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """The rows in an order that the seed and the ids decide; restored by ordering by id."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+
+
 @dataclass
 class Binarizer(Operator):
     columns: list[str]

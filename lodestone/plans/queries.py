@@ -257,7 +257,9 @@ def gaussian_nb(spark, sf):
     return _r(L.GaussianNB(["l_quantity"], "l_returnflag").statistics(_t(spark, sf, "lineitem")), "label", "n", mean_l_quantity="mean_l_quantity", var_l_quantity="var_l_quantity")
 
 
-@query()
+@query("""WITH s AS (SELECT l_returnflag AS c, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) AS v, avg(l_discount) AS m2, var_pop(l_discount) AS v2 FROM lineitem GROUP BY 1),
+e AS (SELECT count(*) AS t, 1e-9 * greatest(var_pop(l_quantity), var_pop(l_discount)) AS x FROM lineitem), r AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d FROM lineitem)
+SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, arg_max(c, ln(n / t) - ln(v + x) / 2 - ln(v2 + x) / 2 - (q - m) * (q - m) / (2 * (v + x)) - (d - m2) * (d - m2) / (2 * (v2 + x))) AS prediction FROM r, s, e GROUP BY id""")
 def gaussian_nb_predict(spark, sf):
     df = _t(spark, sf, "lineitem")
     return L.GaussianNB(["l_quantity", "l_discount"], "l_returnflag").fit(df).predict(df).select(*ITEM, "prediction")
@@ -272,19 +274,20 @@ def k_neighbors(spark, sf):
     return got.select("query_id", "neighbor_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query()
+@query("""SELECT query_id, neighbor_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def k_neighbors_vectors(spark, sf):
     df = _t(spark, sf, "embeddings")
     return N.kneighbors(df, df.filter("vec_id % 20 = 0"), "vec_id", ["embedding"], 5).select("query_id", "neighbor_id", "rank")
 
 
-@query()
+@query("""SELECT query_id, arg_min(label, 1000 * (100 - n) + label) AS prediction FROM (SELECT query_id, label, count(*) AS n FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5 GROUP BY 1, 2) GROUP BY 1""")
 def k_neighbors_classifier(spark, sf):
     df = _t(spark, sf, "embeddings")
     return N.kneighbors_vote(df, df.filter("vec_id % 20 = 0"), "vec_id", ["embedding"], "label")
 
 
-@query()
+@query("""SELECT query_id, round(avg(y), 6) AS prediction FROM (SELECT a.c_custkey AS query_id, b.c_nationkey AS y, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) AS rank
+FROM customer a, customer b WHERE a.c_custkey % 20 = 0) WHERE rank <= 5 GROUP BY 1""")
 def k_neighbors_regressor(spark, sf):
     df = _t(spark, sf, "customer")
     return _r(N.kneighbors_mean(df, df.filter("c_custkey % 20 = 0"), "c_custkey", ["c_acctbal"], "c_nationkey", 5, p=1.0), "query_id", prediction="prediction")
@@ -302,13 +305,21 @@ def nearest_centroid(spark, sf):
     return spark.createDataFrame([(lab, round(float(c[0]), 6), round(float(c[1]), 6)) for lab, c in zip(m.labels, m.centers)], "label string, q double, d double")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT c_custkey, c_acctbal AS x, row_number() OVER (ORDER BY c_custkey) AS r FROM customer),
+k AS (SELECT 0 AS i, max(x) FILTER (WHERE r = 1) AS a, max(x) FILTER (WHERE r = 2) AS b, max(x) FILTER (WHERE r = 3) AS c FROM p
+  UNION ALL SELECT i + 1, coalesce(avg(x) FILTER (WHERE g = 0), a), coalesce(avg(x) FILTER (WHERE g = 1), b), coalesce(avg(x) FILTER (WHERE g = 2), c) FROM (SELECT i, a, b, c, x, CASE WHEN abs(x - a) <= abs(x - b) AND abs(x - a) <= abs(x - c) THEN 0 WHEN abs(x - b) <= abs(x - c) THEN 1 ELSE 2 END AS g FROM k, p WHERE i < 100) GROUP BY i, a, b, c)
+SELECT c_custkey, CASE WHEN abs(x - a) <= abs(x - b) AND abs(x - a) <= abs(x - c) THEN 0 WHEN abs(x - b) <= abs(x - c) THEN 1 ELSE 2 END AS prediction FROM p, k WHERE i = 100""")
 def k_means(spark, sf):
     df = _t(spark, sf, "customer")
     return N.KMeans(["c_acctbal"], "c_custkey", 3).fit(df).predict(df).select("c_custkey", "prediction")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey AS y FROM supplier),
+near AS (SELECT a.id AS a, b.id AS b FROM s a, s b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 200),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) > 3), link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT reach.a, link.b FROM reach, link WHERE reach.b = link.a),
+named AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)
+SELECT s.id, coalesce(own.cluster, min(other.cluster), -1) AS cluster FROM s LEFT JOIN named own ON own.id = s.id LEFT JOIN near ON near.a = s.id LEFT JOIN named other ON other.id = near.b GROUP BY s.id, own.cluster""")
 def dbscan(spark, sf):
     return N.dbscan(_t(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], 200.0, 3)
 
@@ -319,10 +330,12 @@ def interp_1d(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.round(I.linear(x, [1, 10, 30, 50], [1, 4, 2, 9]), 6).alias("v"))
 
 
-@query()
+@query("""WITH g AS (SELECT p_partkey, p_size AS x, p_retailprice AS y, CASE WHEN p_size < 25 THEN 0 ELSE 1 END AS i, CASE WHEN p_retailprice < 1500 THEN 0 ELSE 1 END AS j FROM part),
+w AS (SELECT *, CASE i WHEN 0 THEN (x - 1) / 24.0::DOUBLE ELSE (x - 25) / 25.0::DOUBLE END AS u, CASE j WHEN 0 THEN (y - 900) / 600.0::DOUBLE ELSE (y - 1500) / 500.0::DOUBLE END AS v, [[1, 2, 3], [2, 4, 9], [3, 8, 27]] AS z FROM g)
+SELECT p_partkey, round((1 - u) * (1 - v) * z[i + 1][j + 1] + u * (1 - v) * z[i + 2][j + 1] + (1 - u) * v * z[i + 1][j + 2] + u * v * z[i + 2][j + 2], 9) AS v FROM w""")
 def interp_2d(spark, sf):
     v = I.bilinear(F.col("p_size").cast("double"), F.col("p_retailprice"), [1, 25, 50], [900, 1500, 2000], [[1, 2, 3], [2, 4, 9], [3, 8, 27]])
-    return _t(spark, sf, "part").select("p_partkey", F.round(v, 6).alias("v"))
+    return _t(spark, sf, "part").select("p_partkey", F.round(v, 9).alias("v"))
 
 
 @query()
@@ -360,7 +373,8 @@ def grid_search(spark, sf):
     return spark.createDataFrame([(p["alpha"], round(s, 6)) for p, s in results], "alpha double, score double")
 
 
-@query()
+@query("""WITH g AS (SELECT var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, var_pop(l_discount) AS c, covar_pop(l_extendedprice, l_quantity) AS p, covar_pop(l_extendedprice, l_discount) AS q, avg(l_quantity) AS m, avg(l_discount) AS m2, avg(l_extendedprice) AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(y + (c * p - b * q) / (a * c - b * b) * (l_quantity - m) + (a * q - b * p) / (a * c - b * b) * (l_discount - m2), 3) AS prediction FROM lineitem, g""")
 def model_pipeline(spark, sf):
     cols = ["l_quantity", "l_discount"]
     pipe = S.make_pipeline(P.StandardScaler(cols), L.LinearRegression(cols, "l_extendedprice"))
@@ -467,3 +481,46 @@ def streaming_moments(spark, sf):
     stream = spark.readStream.schema(_t(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     W.moments_sink(stream, ["value"], path).awaitTermination()
     return W.read_moments(spark, path).select("column", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@query("SELECT a.n_nationkey AS i, b.n_nationkey AS j, round((a.n_nationkey - m) * (b.n_nationkey - m), 6) + 0::DOUBLE AS k FROM nation a, nation b, (SELECT avg(n_nationkey) AS m FROM nation) WHERE a.n_nationkey <= 20")
+def kernel_centerer(spark, sf):
+    df = _t(spark, sf, "nation")  # 25 rows at every size
+    pairs = df.select(F.col("n_nationkey").alias("i")).crossJoin(df.select(F.col("n_nationkey").alias("j")))
+    k = pairs.withColumn("k", (F.col("i") * F.col("j")).cast("double"))
+    return P.KernelCenterer().fit(k).transform(k).filter("i <= 20").select("i", "j", F.round("k", 6).alias("k"))
+
+
+@query("SELECT p_partkey, round(p_size / n, 8) AS p_size FROM part, (SELECT sqrt(sum(p_size * p_size)) AS n FROM part)")
+def column_normalizer(spark, sf):
+    return _r(P.ColumnNormalizer(["p_size"]).fit_transform(_t(spark, sf, "part")), "p_partkey", digits=8, p_size="p_size")
+
+
+@query("SELECT round(avg(-(y * ln(g) + (1 - y) * ln(1 - g))), 9) AS log_loss FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity / 51 AS g FROM lineitem)")
+def log_loss(spark, sf):
+    return _r(M.log_loss(_guess(spark, sf).withColumn("g", F.col("s") / 51), "y", "g"), digits=9, log_loss="log_loss")
+
+
+@query("""SELECT query_id, neighbor_id, 1.0::DOUBLE AS value FROM (SELECT a.s_suppkey AS query_id, b.s_suppkey AS neighbor_id, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS rank
+FROM supplier a, supplier b WHERE a.s_suppkey <> b.s_suppkey) WHERE rank <= 3""")
+def k_neighbors_graph(spark, sf):
+    df = _t(spark, sf, "supplier")
+    return N.kneighbors_graph(df, df, "s_suppkey", ["s_acctbal"], 3, 1.0, include_self=False)
+
+
+@query("""SELECT query_id, label, count(*) / 5 AS probability FROM (SELECT a.c_custkey AS query_id, b.c_mktsegment AS label, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) AS rank
+FROM customer a, customer b WHERE a.c_custkey % 20 = 0) WHERE rank <= 5 GROUP BY 1, 2""")
+def k_neighbors_proba(spark, sf):
+    df = _t(spark, sf, "customer")
+    return N.kneighbors_proba(df, df.filter("c_custkey % 20 = 0"), "c_custkey", ["c_acctbal"], "c_mktsegment", 5, p=1.0)
+
+
+@query()
+def train_test_split(spark, sf):
+    train, test = S.train_test_split(_t(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return train.withColumn("test", F.lit(False)).union(test.withColumn("test", F.lit(True)))
+
+
+@query()
+def shuffler(spark, sf):
+    return P.shuffled(_t(spark, sf, "supplier"), "s_suppkey", 7)
