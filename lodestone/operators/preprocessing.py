@@ -271,13 +271,17 @@ class Imputer(Operator):
 
 @dataclass
 class PowerTransformer(Operator):
-    """Yeo-Johnson or Box-Cox with the exponent of the largest likelihood: grids of
-    exponents are evaluated in one aggregate each and refined around the best."""
+    """Yeo-Johnson or Box-Cox with the exponent of the largest likelihood: grids of exponents
+    are evaluated in one aggregate each, moved outwards while the best is at an end and refined
+    around it until they are ``tol`` apart, in at most ``rounds`` aggregates."""
 
     columns: list[str]
     method: str = "yeo-johnson"
-    rounds: int = 4
+    standardize: bool = False
+    rounds: int = 30
+    tol: float = 1e-6
     exponent: dict[str, float] = field(default_factory=dict, init=False)
+    scaling: dict[str, tuple[float, float]] = field(default_factory=dict, init=False)
 
     def power(self, x: Column, k: float) -> Column:
         if self.method == "box-cox":
@@ -297,20 +301,28 @@ class PowerTransformer(Operator):
                 parts += [(-F.count(x) / 2 * F.log(F.var_pop(self.power(x, float(k)))) + (float(k) - 1) * F.sum(log)).alias(f"{c}__{i}") for i, k in enumerate(grid[c])]
             row = df.agg(*parts).first()
             for c in self.columns:
-                score = [row[f"{c}__{i}"] if row[f"{c}__{i}"] is not None else -np.inf for i in range(17)]
+                score = np.nan_to_num([np.nan if row[f"{c}__{i}"] is None else row[f"{c}__{i}"] for i in range(17)], nan=-np.inf)
                 best = int(np.argmax(score))
                 self.exponent[c] = float(grid[c][best])
                 step = grid[c][1] - grid[c][0]
-                span[c] = (grid[c][best] - step, grid[c][best] + step)
+                reach = (8 if best in (0, 16) and score[best] > score[8] else 1) * step
+                span[c] = (grid[c][best] - reach, grid[c][best] + reach)
+            if all(hi - lo <= 2 * self.tol for lo, hi in span.values()):
+                break
+        powers = {c: self.power(present(c), self.exponent[c]) for c in self.columns}
+        self.scaling = {c: (0.0, 1.0) for c in self.columns}
+        if self.standardize:
+            row = df.agg(*[f(powers[c]).alias(f"{c}__{f.__name__}") for c in self.columns for f in (F.avg, F.stddev_pop)]).first()
+            self.scaling = {c: (row[f"{c}__avg"] or 0.0, row[f"{c}__stddev_pop"] or 1.0) for c in self.columns}
         return self
 
     def expressions(self, columns):
-        return {c: self.power(present(c), self.exponent[c]) for c in self.columns}
+        return {c: (self.power(present(c), self.exponent[c]) - self.scaling[c][0]) / self.scaling[c][1] for c in self.columns}
 
     def inverse_expressions(self, columns):
         out = {}
         for c in self.columns:
-            y, k = present(c), self.exponent[c]
+            y, k = present(c) * self.scaling[c][1] + self.scaling[c][0], self.exponent[c]
             if self.method == "box-cox":
                 out[c] = F.exp(y) if abs(k) < 1e-12 else F.pow(y * k + 1, F.lit(1 / k))
                 continue
@@ -479,13 +491,14 @@ class PCA(Operator):
     min_variance_ratio: float | None = None
     directions: np.ndarray | None = field(default=None, init=False)
     ratio: np.ndarray | None = field(default=None, init=False)
+    singular: np.ndarray | None = field(default=None, init=False)
 
     def fit(self, df):
         values, vectors = np.linalg.eigh(gram(df, self.columns))
         order = np.argsort(-values)
         values, vectors = np.maximum(values[order], 0), vectors[:, order]
         vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), range(len(values))])
-        self.ratio = values / (values.sum() or 1.0)
+        self.ratio, self.singular = values / (values.sum() or 1.0), np.sqrt(values)
         k = self.components or len(values)
         if self.min_variance_ratio is not None:
             k = int(np.searchsorted(np.cumsum(self.ratio), self.min_variance_ratio - 1e-12)) + 1
