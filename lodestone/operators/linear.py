@@ -29,11 +29,19 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: list[str], target: str, fit_intercept: bool = True) -> Moments:
-    g = gram(df.withColumn("__one", F.lit(1.0)), ["__one", *columns, target])
-    n, d = g[0, 0], len(columns)
-    mean = g[0, 1:] / max(n, 1) if fit_intercept else np.zeros(d + 1)
-    c = g[1:, 1:] - n * np.outer(mean, mean)
-    return Moments(n, mean[:d], c[:d, :d], c[:d, d], c[d, d], float(mean[d]))
+    """From one aggregate. Centred products are Spark's merged covariances, which don't lose digits
+    where means are large; rows with a missing value are left out."""
+    d, names = len(columns), [*columns, target]
+    if not fit_intercept:
+        g = gram(df.withColumn("__one", F.lit(1.0)), ["__one", *names])
+        return Moments(g[0, 0], np.zeros(d), g[1 : d + 1, 1 : d + 1], g[1 : d + 1, d + 1], g[d + 1, d + 1], 0.0)
+    work = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)]).dropna()
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    row = work.agg(F.count("*").alias("n"), *[F.avg(f"c{k}").alias(f"m{k}") for k in range(d + 1)], *[F.covar_pop(f"c{i}", f"c{j}").alias(f"s{i}_{j}") for i, j in pairs]).first()
+    c, mean = np.zeros((d + 1, d + 1)), np.array([row[f"m{k}"] or 0.0 for k in range(d + 1)])
+    for i, j in pairs:
+        c[i, j] = c[j, i] = (row[f"s{i}_{j}"] or 0.0) * row.n
+    return Moments(float(row.n), mean[:d], c[:d, :d], c[:d, d], c[d, d], float(mean[d]))
 
 
 @dataclass

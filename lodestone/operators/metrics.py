@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranged, running
+
 
 def _w(weight: str | None):
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
@@ -50,64 +52,98 @@ def averaged(scores: DataFrame, average: str = "macro") -> DataFrame:
 
 def binary_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
     """(threshold, tps, fps): cumulative counts at each distinct score, from the highest. Rows
-    are summed by score first; scores are dealt into ranges, and a range starts from the sums
-    of those above it, so that no task sees all scores. Rows without a score are left out."""
+    without a score are left out."""
+    return _curve(df, true, score, positive, weight).select("threshold", "tps", "fps")
+
+
+def _curve(df: DataFrame, true: str, score: str, positive, weight: str | None) -> DataFrame:
+    """binary_curve with the row's own counts tp and fp and the sums of all, pos and neg. Rows are
+    summed by score first and then counted up range by range, so that no task sees all scores and
+    nothing has to look at the row before."""
+    hit = F.col(true) == positive
     by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
-        F.sum(F.when(F.col(true) == positive, _w(weight)).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col(true) == positive, 0.0).otherwise(_w(weight))).alias("fp")
+        F.sum(F.when(hit, _w(weight)).otherwise(0.0)).alias("tp"), F.sum(F.when(hit, 0.0).otherwise(_w(weight))).alias("fp")
     )
-    n = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(by.select(F.col("threshold").cast("double").alias("t")).approxQuantile("t", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    at = F.size(F.filter(F.lit(edges), lambda e: e >= F.col("threshold").cast("double"))) if edges else F.lit(0)
-    ranged = by.withColumn("range", at)
-    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("range").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f")).select("range", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}0") for c in "tf"])
-    down = Window.partitionBy("range").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranged.join(F.broadcast(starts), "range")  # a row for each range, at most n
-    return sums.select("threshold", (F.col("t0") + F.sum("tp").over(down)).alias("tps"), (F.col("f0") + F.sum("fp").over(down)).alias("fps"))
+    names = {"run_tp": "tps", "run_fp": "fps", "all_tp": "pos", "all_fp": "neg"}
+    return running(by, "threshold", ["tp", "fp"], descending=True).withColumnsRenamed(names)
+
+
+def roc_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None, origin: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr); rates are null without negatives or positives. With ``origin`` the
+    point (0, 0) comes first, at the highest score plus 1, if that score has a negative."""
+    curve = _curve(df, true, score, positive, weight)
+    if origin:
+        top = curve.agg(F.max_by(F.struct("threshold", "fp"), "threshold").alias("t")).filter("t.fp > 0")
+        zero = top.select((F.col("t.threshold") + 1).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+        return _rates(curve).union(zero)
+    return _rates(curve)
 
 
-def roc_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
-    """(threshold, fpr, tpr); without the point (0, 0)."""
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    curve = binary_curve(df, true, score, positive, weight)
-    return curve.select("threshold", (F.col("fps") / F.max("fps").over(everything)).alias("fpr"), (F.col("tps") / F.max("tps").over(everything)).alias("tpr"))
+def _rates(curve: DataFrame) -> DataFrame:
+    return curve.select("threshold", F.try_divide("fps", "neg").alias("fpr"), F.try_divide("tps", "pos").alias("tpr"))
 
 
 def auc(curve: DataFrame, x: str = "fpr", y: str = "tpr") -> DataFrame:
-    """Trapezoids from (0, 0)."""
-    w = Window.orderBy(x, y)
-    x0, y0 = F.coalesce(F.lag(x).over(w), F.lit(0.0)), F.coalesce(F.lag(y).over(w), F.lit(0.0))
-    return curve.select(((F.col(x) - x0) * (F.col(y) + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """Trapezoids from (0, 0) along ascending x. Ranges of x are added up by themselves; the first
+    row of a range starts from the last point of the range before."""
+    dealt = ranged(curve.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x")
+    ends = dealt.groupBy("__range").agg(F.max(F.struct("x", "y")).alias("end"))  # a row for each range
+    last = ends.select("__range", F.lag("end").over(Window.partitionBy(F.lit(1)).orderBy("__range")).alias("end"))
+    w = Window.partitionBy("__range").orderBy("x", "y")
+    x0, y0 = (F.coalesce(F.lag(c).over(w), F.col(f"end.{c}"), F.lit(0.0)) for c in "xy")
+    return dealt.join(F.broadcast(last), "__range").select(((F.col("x") - x0) * (F.col("y") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def roc_auc(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
-    return auc(roc_curve(df, true, score, positive, weight))
+    a = F.col("fp") * (2 * F.col("tps") - F.col("tp")) / 2
+    return _curve(df, true, score, positive, weight).agg(F.try_divide(F.sum(a), F.max("pos") * F.max("neg")).alias("auc"))
 
 
-def precision_recall_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
-    """(threshold, precision, recall) down to the first threshold of full recall."""
-    curve = binary_curve(df, true, score, positive, weight)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("tps").over(Window.orderBy(F.col("threshold").desc())), F.lit(-1.0))
-    curve = curve.withColumn("all", F.max("tps").over(everything)).withColumn("before", before).filter(F.col("before") < F.col("all"))
-    return curve.select("threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"), (F.col("tps") / F.col("all")).alias("recall"))
+def precision_recall_curve(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None, end: bool = False) -> DataFrame:
+    """(threshold, precision, recall) down to the first threshold of full recall; with ``end`` and
+    the point (1, 0), whose threshold is null."""
+    out = _to_full_recall(df, true, score, positive, weight).select("threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"), F.try_divide("tps", "pos").alias("recall"))
+    last = df.sparkSession.range(1).select(F.lit(None).cast(out.schema["threshold"].dataType).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return out.union(last) if end else out
+
+
+def _to_full_recall(df, true, score, positive, weight) -> DataFrame:
+    curve = _curve(df, true, score, positive, weight)
+    return curve.filter((F.col("tps") - F.col("tp") < F.col("pos")) | (F.col("pos") == 0) & (F.col("tps") + F.col("fps") == F.col("tp") + F.col("fp")))
 
 
 def average_precision(df: DataFrame, true: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
-    curve = precision_recall_curve(df, true, score, positive, weight)
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.col("threshold").desc())), F.lit(0.0))
-    return curve.select((gain * F.col("precision")).alias("a")).agg(F.sum("a").alias("average_precision"))
+    a = F.col("tp") * F.col("tps") / (F.col("tps") + F.col("fps"))
+    return _to_full_recall(df, true, score, positive, weight).agg(F.try_divide(F.sum(a), F.max("pos")).alias("average_precision"))
 
 
 def regression_scores(df: DataFrame, true: str, predicted: str, weight: str | None = None) -> DataFrame:
-    """mse, mae and r2 in one pass."""
+    """mse, mae and r2 in one pass. Squared gaps from the mean are those of Spark's merged central
+    moments where rows have no weights."""
     y, e, w = F.col(true).cast("double"), F.col(true).cast("double") - F.col(predicted), _w(weight)
     mean = F.sum(w * y) / F.sum(w)
-    total = F.sum(w * y * y) - F.sum(w) * mean * mean
+    total = F.var_pop(y) * F.count(y) if weight is None else F.sum(w * y * y) - F.sum(w) * mean * mean
     sq = F.sum(w * e * e)
     return df.agg((sq / F.sum(w)).alias("mse"), (F.sum(w * F.abs(e)) / F.sum(w)).alias("mae"), (1 - sq / F.greatest(total, F.lit(1e-20))).alias("r2"))
 
 
+def multioutput_scores(df: DataFrame, pairs: list[tuple[str, str]], multioutput: str = "uniform", weight: str | None = None) -> DataFrame:
+    """mse, mae and r2 of several (true, predicted) columns in one pass: raw_values gives a row for
+    each output, uniform their means, variance_weighted weighs r2 by the spread of the outputs."""
+    w = _w(weight)
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("output"), F.col(t).cast("double").alias("y"), F.col(p).cast("double").alias("g"), w.alias("w")) for k, (t, p) in enumerate(pairs)])))
+    e, mean = F.col("y") - F.col("g"), F.sum(F.col("w") * F.col("y")) / F.sum("w")
+    total = F.var_pop("y") * F.count("y") if weight is None else F.sum(F.col("w") * F.col("y") * F.col("y")) - F.sum("w") * mean * mean
+    sq = F.sum(F.col("w") * e * e)
+    raw = rows.groupBy("output").agg((sq / F.sum("w")).alias("mse"), (F.sum(F.col("w") * F.abs(e)) / F.sum("w")).alias("mae"), (1 - sq / F.greatest(total, F.lit(1e-20))).alias("r2"), total.alias("spread"))
+    if multioutput == "raw_values":
+        return raw.drop("spread")
+    if multioutput not in ("uniform", "variance_weighted"):
+        raise ValueError(f"unknown way to join outputs {multioutput!r}")
+    r2 = F.avg("r2") if multioutput == "uniform" else F.sum(F.col("r2") * F.col("spread")) / F.sum("spread")
+    return raw.agg(F.avg("mse").alias("mse"), F.avg("mae").alias("mae"), r2.alias("r2"))
+
+
 def type_of_target(df: DataFrame, targets: list[str]) -> str:
     """binary (one column of at most two values), multilabel-indicator (several columns of zeros
     and ones) or unknown. Nulls aren't values."""

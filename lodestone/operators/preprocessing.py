@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import most_frequent, quantiles
+
 
 def present(c: str) -> Column:
     """The column as a double, missing values as null."""
@@ -127,6 +129,17 @@ class StandardScaler(_Affine):
         return self
 
 
+def scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns less their means, over their population deviations."""
+    return StandardScaler(columns).fit_transform(df)
+
+
+def mean_and_deviation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, var, std) with population variances, from one aggregate."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), present(c).alias("x")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.stddev_pop("x").alias("std"))
+
+
 @dataclass
 class MaxAbsScaler(_Affine):
     """Each column over its largest magnitude; ``partial_fit`` raises that by a batch."""
@@ -154,13 +167,13 @@ class RobustScaler(_Affine):
     low: float = 0.25
     high: float = 0.75
 
+    center: bool = True
+    with_scale: bool = True
+
     def fit(self, df: DataFrame):
-        clean = df.select(*[present(c).alias(c) for c in self.columns])
-        want = [(c, p) for c in self.columns for p in (self.low, 0.5, self.high)]
-        row = clean.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)").alias(f"{c}__{p}") for c, p in want]).first()
-        for c in self.columns:
-            lo, mid, hi = (row[f"{c}__{p}"] for p in (self.low, 0.5, self.high))
-            self.shift[c], self.scale[c] = float(mid or 0.0), float((hi or 0.0) - (lo or 0.0)) or 1.0
+        for c, (lo, mid, hi) in quantiles(df, self.columns, [self.low, 0.5, self.high]).items():
+            self.shift[c] = float(mid or 0.0) if self.center else 0.0
+            self.scale[c] = (float((hi or 0.0) - (lo or 0.0)) or 1.0) if self.with_scale else 1.0
         return self
 
 
@@ -260,11 +273,19 @@ class Imputer(Operator):
     fill: dict[str, float] = field(default_factory=dict, init=False)
 
     def fit(self, df):
-        how = {"mean": "avg(`{0}`)", "median": "percentile_disc(0.5) WITHIN GROUP (ORDER BY `{0}`)", "most_frequent": "mode() WITHIN GROUP (ORDER BY `{0}`)"}[self.strategy]
-        clean = df.select(*[present(c).alias(c) for c in self.columns])
-        self.fill = clean.agg(*[F.expr(how.format(c)).alias(c) for c in self.columns]).first().asDict()
+        if self.strategy == "mean":
+            self.fill = df.agg(*[F.avg(present(c)).alias(c) for c in self.columns]).first().asDict()
+        elif self.strategy == "median":
+            self.fill = {c: q[0] for c, q in quantiles(df, self.columns, [0.5]).items()}
+        elif self.strategy == "most_frequent":
+            self.fill = most_frequent(df, self.columns)
+        else:
+            raise ValueError(f"unknown strategy {self.strategy!r}")
         return self
 
+    def inverse_expressions(self, columns):
+        return {c: F.col(c) for c in self.columns}
+
     def expressions(self, columns):
         return {c: F.coalesce(present(c), F.lit(self.fill[c])) for c in self.columns}
 
@@ -341,15 +362,16 @@ class QuantileTransformer(Operator):
     knots: dict[str, list[float]] = field(default_factory=dict, init=False)
 
     def fit(self, df):
-        at = F.array(*[F.lit(float(p)) for p in np.linspace(0, 1, self.quantiles)])
-        row = df.agg(*[F.percentile(present(c), at).alias(c) for c in self.columns]).first()
-        self.knots = {c: list(row[c]) for c in self.columns}
+        self.knots = quantiles(df, self.columns, np.linspace(0, 1, self.quantiles).tolist(), interpolate=True)
         return self
 
     def expressions(self, columns):
         out, n = {}, self.quantiles - 1
         for c in self.columns:
             x, k = present(c), self.knots[c]
+            if k[0] is None:
+                out[c] = F.lit(None).cast("double")
+                continue
             value = F.when(x < k[0], 0.0)
             for i in range(n):
                 if k[i + 1] > k[i]:
@@ -358,33 +380,53 @@ class QuantileTransformer(Operator):
             out[c] = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), value))
         return out
 
+    def inverse_expressions(self, columns):
+        out, n = {}, self.quantiles - 1
+        for c in self.columns:
+            y, k = present(c), self.knots[c]
+            if k[0] is None:
+                out[c] = F.lit(None).cast("double")
+                continue
+            value = F.when(y <= 0, k[0])
+            for i in range(n):
+                value = value.when(y <= (i + 1) / n, k[i] + (y * n - i) * (k[i + 1] - k[i]))
+            out[c] = value.when(y.isNotNull(), k[n])
+        return out
+
 
 @dataclass
 class KBinsDiscretizer(Operator):
-    """Ordinal bins with uniform or quantile edges; a bin counts the inner edges <= x."""
+    """Bins with uniform or quantile edges; a bin counts the inner edges <= x. ``encode`` is
+    ordinal, or onehot-dense for a 0/1 column a bin; the inverse gives the middle of a bin."""
 
     columns: list[str]
     bins: int = 5
     strategy: str = "quantile"
+    encode: str = "ordinal"
     edges: dict[str, list[float]] = field(default_factory=dict, init=False)
 
     def fit(self, df):
-        clean = df.select(*[present(c).alias(c) for c in self.columns])
         if self.strategy == "uniform":
-            row = clean.agg(*[f(c).alias(f"{c}__{n}") for c in self.columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
-            self.edges = {c: np.linspace(row[f"{c}__lo"], row[f"{c}__hi"], self.bins + 1).tolist() for c in self.columns}
+            row = df.agg(*[f(present(c)).alias(f"{c}__{n}") for c in self.columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+            self.edges = {c: np.linspace(row[f"{c}__lo"] or 0.0, row[f"{c}__hi"] or 0.0, self.bins + 1).tolist() for c in self.columns}
+        elif self.strategy == "quantile":
+            found = quantiles(df, self.columns, [k / self.bins for k in range(self.bins + 1)])
+            self.edges = {c: [e or 0.0 for e in edges] for c, edges in found.items()}
         else:
-            ps = [k / self.bins for k in range(self.bins + 1)]
-            row = clean.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)").alias(f"{c}__{k}") for c in self.columns for k, p in enumerate(ps)]).first()
-            self.edges = {c: [row[f"{c}__{k}"] for k in range(self.bins + 1)] for c in self.columns}
+            raise ValueError(f"unknown strategy {self.strategy!r}")
         return self
 
     def expressions(self, columns):
-        return {c: sum([(present(c) >= e).cast("int") for e in self.edges[c][1:-1]], F.lit(0)).cast("double") for c in self.columns}
+        at = {c: sum([(present(c) >= e).cast("int") for e in self.edges[c][1:-1]], F.lit(0)) for c in self.columns}
+        if self.encode == "ordinal":
+            return {c: v.cast("double") for c, v in at.items()}
+        return {f"{c}_{k}": (v == k).cast("double") for c, v in at.items() for k in range(self.bins)}
 
     def inverse_expressions(self, columns):
         middle = {c: [(a + b) / 2 for a, b in zip(e, e[1:])] for c, e in self.edges.items()}
-        return {c: F.element_at(F.lit(middle[c]), present(c).cast("int") + 1) for c in self.columns}
+        if self.encode == "ordinal":
+            return {c: F.try_element_at(F.lit(middle[c]), present(c).cast("int") + 1) for c in self.columns}
+        return {c: F.coalesce(*[F.when(F.col(f"{c}_{k}") == 1, m) for k, m in enumerate(middle[c])]) for c in self.columns}
 
 
 @dataclass
@@ -406,8 +448,25 @@ class OneHotEncoder(Operator):
         return {c: F.coalesce(*[F.when(F.col(f"{c}_{k}") == 1, F.lit(v)) for k, v in enumerate(self.values[c])]) for c in self.columns}
 
 
+@dataclass
 class LabelBinarizer(OneHotEncoder):
-    """One column per class of a label column."""
+    """One column per class of each label column, ``negative`` or ``positive`` (one more than
+    negative if they are equal); the inverse gives the class of the largest column, the first of
+    equal ones."""
+
+    negative: float = 0.0
+    positive: float = 1.0
+
+    def expressions(self, columns):
+        no, yes = float(self.negative), float(self.negative + 1 if self.positive == self.negative else self.positive)
+        return {f"{c}_{k}": F.when(F.col(c) == F.lit(v), yes).otherwise(no) for c in self.columns for k, v in enumerate(self.values[c])}
+
+    def inverse_expressions(self, columns):
+        out = {}
+        for c in self.columns:
+            hot = F.array(*[F.col(f"{c}_{k}") for k in range(len(self.values[c]))])
+            out[c] = F.element_at(F.lit(self.values[c]), F.array_position(hot, F.array_max(hot)).cast("int"))
+        return out
 
 
 @dataclass
@@ -425,6 +484,30 @@ class MultiLabelBinarizer(Operator):
     def expressions(self, columns):
         return {f"{self.column}_{k}": F.array_contains(self.column, F.lit(v)).cast("double") for k, v in enumerate(self.classes)}
 
+    def inverse_expressions(self, columns):
+        """The classes of a row, sorted."""
+        return {self.column: F.array_compact(F.array(*[F.when(F.col(f"{self.column}_{k}") == 1, F.lit(v)) for k, v in enumerate(self.classes)]))}
+
+
+@dataclass
+class PositionBinarizer(Operator):
+    """Several label columns that share one sorted dictionary: a block of 0/1 columns for each
+    position, a column for each class in it."""
+
+    columns: list[str]
+    classes: list = field(default_factory=list, init=False)
+
+    def fit(self, df):
+        rows = df.select(F.explode(F.array(*self.columns)).alias("v")).filter("v is not null").distinct().orderBy("v").collect()
+        self.classes = [r.v for r in rows]
+        return self
+
+    def expressions(self, columns):
+        return {f"{c}_{k}": F.when(F.col(c) == F.lit(v), 1.0).otherwise(0.0) for c in self.columns for k, v in enumerate(self.classes)}
+
+    def inverse_expressions(self, columns):
+        return {c: F.coalesce(*[F.when(F.col(f"{c}_{k}") == 1, F.lit(v)) for k, v in enumerate(self.classes)]) for c in self.columns}
+
 
 @dataclass
 class LabelEncoder(Operator):
@@ -435,8 +518,16 @@ class LabelEncoder(Operator):
     support: list[int] = field(default_factory=list, init=False)
 
     def fit(self, df):
-        rows = df.filter(F.col(self.column).isNotNull()).groupBy(self.column).count().orderBy(self.column).collect()
-        self.classes, self.support = [r[0] for r in rows], [r[1] for r in rows]
+        self.classes, self.support = [], []
+        return self.partial_fit(df)
+
+    def partial_fit(self, df):
+        """Adds the classes and counts of a batch."""
+        counts = dict(zip(self.classes, self.support))
+        for value, n in df.filter(F.col(self.column).isNotNull()).groupBy(self.column).count().collect():  # a row for each class
+            counts[value] = counts.get(value, 0) + n
+        self.classes = sorted(counts)
+        self.support = [counts[v] for v in self.classes]
         return self
 
     def expressions(self, columns):
@@ -469,6 +560,9 @@ class PolynomialFeatures(Operator):
             out[f"poly_{k}"] = x
         return out
 
+    def inverse_expressions(self, columns):
+        return {t[0]: F.col(f"poly_{k}") for k, t in enumerate(self.terms()) if len(t) == 1}
+
 
 def gram(df: DataFrame, columns: list[str], weight: Column | None = None) -> np.ndarray:
     """X'X of the columns by one aggregate."""

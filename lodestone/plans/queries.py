@@ -45,6 +45,8 @@ def _r(df: DataFrame, *keep: str, digits: int = 6, **named) -> DataFrame:
     return df.select(*keep, *[F.round(c if not isinstance(c, str) else F.col(c), digits).alias(n) for n, c in named.items()])
 
 
+#: The seeded hash of folds and shuffles: 60 leading bits of an MD5.
+_H = "('0x' || md5('0:' || {})[:15])::BIGINT"
 ITEM = ("l_orderkey", "l_linenumber")
 _ITEM = "l_orderkey, l_linenumber"
 
@@ -149,7 +151,8 @@ def polynomial_features(spark, sf):
     return out.select("p_partkey", "poly_0", "poly_1", F.round("poly_2", 6).alias("poly_2"), "poly_3", F.round("poly_4", 4).alias("poly_4"), F.round("poly_5", 4).alias("poly_5"))
 
 
-@query()
+@query("WITH k AS (SELECT quantile_cont(c_acctbal::DOUBLE, [" + ", ".join(f"{i / 10}" for i in range(11)) + "]) AS k FROM customer) SELECT c_custkey, round(greatest(1e-7, least(1 - 1e-7, CASE WHEN c_acctbal < k[1] THEN 0 "
+       + " ".join(f"WHEN k[{i + 2}] > k[{i + 1}] AND c_acctbal <= k[{i + 2}] THEN ({i} + (c_acctbal - k[{i + 1}]) / (k[{i + 2}] - k[{i + 1}])) / 10" for i in range(10)) + " ELSE 1 END)), 6) AS q FROM customer, k")
 def quantile_transformer(spark, sf):
     return _r(P.QuantileTransformer(["c_acctbal"]).fit_transform(_t(spark, sf, "customer")), "c_custkey", q="c_acctbal")
 
@@ -159,7 +162,13 @@ def power_transformer(spark, sf):
     return _r(P.PowerTransformer(["c_acctbal"]).fit_transform(_t(spark, sf, "customer")), "c_custkey", q="c_acctbal")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_quantity * l_tax) AS c, sum(l_discount * l_discount) AS d, sum(l_discount * l_tax) AS e, sum(l_tax * l_tax) AS f FROM lineitem),
+v AS (SELECT 0 AS i, 1.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z UNION ALL SELECT i + 1, p / sqrt(p * p + q * q + r * r), q / sqrt(p * p + q * q + r * r), r / sqrt(p * p + q * q + r * r) FROM (SELECT i, a * x + b * y + c * z AS p, b * x + d * y + e * z AS q, c * x + e * y + f * z AS r FROM v, g WHERE i < 60)),
+one AS (SELECT x AS x1, y AS y1, z AS z1 FROM v WHERE i = 60),
+u AS (SELECT 0 AS i, 0.0::DOUBLE AS x, 1.0::DOUBLE AS y, 0.0::DOUBLE AS z UNION ALL SELECT i + 1, p / sqrt(p * p + q * q + r * r), q / sqrt(p * p + q * q + r * r), r / sqrt(p * p + q * q + r * r) FROM (SELECT i, p0 - t * x1 AS p, q0 - t * y1 AS q, r0 - t * z1 AS r FROM
+  (SELECT *, p0 * x1 + q0 * y1 + r0 * z1 AS t FROM (SELECT i, x1, y1, z1, a * x + b * y + c * z AS p0, b * x + d * y + e * z AS q0, c * x + e * y + f * z AS r0 FROM u, one, g WHERE i < 400)))),
+two AS (SELECT x AS x2, y AS y2, z AS z2 FROM u WHERE i = 400)
+SELECT l_orderkey, l_linenumber, round(l_quantity * x1 + l_discount * y1 + l_tax * z1, 6) AS a, round((l_quantity * x2 + l_discount * y2 + l_tax * z2) * sign(CASE WHEN abs(y2) >= abs(z2) THEN y2 ELSE z2 END), 6) AS b FROM lineitem, one, two""")
 def pca(spark, sf):
     return _r(P.PCA(["l_quantity", "l_discount", "l_tax"], 2).fit_transform(_t(spark, sf, "lineitem")), *ITEM, a="pc_0", b="pc_1")
 
@@ -225,8 +234,8 @@ def ridge(spark, sf):
     return spark.createDataFrame([(round(float(m.coef[0]), 4),)], "coef double")
 
 
-def _coefs(spark, coef):
-    return spark.createDataFrame([(k, round(float(c), 6)) for k, c in enumerate(np.ravel(coef))], "k int, coef double")
+def _coefs(spark, coef, digits=6):
+    return spark.createDataFrame([(k, round(float(c), digits)) for k, c in enumerate(np.ravel(coef))], "k int, coef double")
 
 
 @query()
@@ -240,9 +249,13 @@ def lasso_path(spark, sf):
     return _coefs(spark, [c for _, w in path for c in w])
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT count(*) AS n, var_pop(l_quantity) * count(*) AS a, covar_pop(l_quantity, l_discount) * count(*) AS c, var_pop(l_discount) * count(*) AS d, covar_pop(l_extendedprice, l_quantity) * count(*) AS p, covar_pop(l_extendedprice, l_discount) * count(*) AS q, var_pop(l_extendedprice) * count(*) AS yy FROM lineitem),
+e AS (SELECT 0 AS i, 1.0::DOUBLE AS prior, n / yy AS noise FROM g UNION ALL SELECT i + 1, gamma / (w * w + v * v), (n - gamma) / (yy - 2 * (w * p + v * q) + a * w * w + 2 * c * w * v + d * v * v) FROM
+  (SELECT *, noise * ((noise * d + prior) * p - noise * c * q) / det AS w, noise * ((noise * a + prior) * q - noise * c * p) / det AS v, 2 - prior * (noise * (a + d) + 2 * prior) / det AS gamma FROM
+    (SELECT *, (noise * a + prior) * (noise * d + prior) - noise * noise * c * c AS det FROM e, g WHERE i < 300)))
+SELECT k, round(CASE k WHEN 0 THEN noise * ((noise * d + prior) * p - noise * c * q) ELSE noise * ((noise * a + prior) * q - noise * c * p) END / ((noise * a + prior) * (noise * d + prior) - noise * noise * c * c), 2) AS coef FROM e, g, (SELECT unnest([0, 1]) AS k) WHERE i = 300""")
 def bayesian_ridge(spark, sf):
-    return _coefs(spark, L.BayesianRidge(["l_quantity", "l_discount"], "l_extendedprice").fit(_t(spark, sf, "lineitem")).coef)
+    return _coefs(spark, L.BayesianRidge(["l_quantity", "l_discount"], "l_extendedprice").fit(_t(spark, sf, "lineitem")).coef, 2)
 
 
 @query()
@@ -338,7 +351,9 @@ def interp_2d(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.round(v, 9).alias("v"))
 
 
-@query()
+@query("""WITH k AS (SELECT unnest([1, 10, 30]) AS x0, unnest([10, 30, 50]) AS x1, unnest([1, 4, 2]) AS y0, unnest([4, 2, 9]) AS y1, unnest([0::DOUBLE, -262 / 4240, 208.6::DOUBLE / 4240]) AS m0, unnest([-262 / 4240, 208.6::DOUBLE / 4240, 0::DOUBLE]) AS m1)
+SELECT p_partkey, round(m0 * (x1 - p_size) ** 3 / (6 * (x1 - x0)) + m1 * (p_size - x0) ** 3 / (6 * (x1 - x0)) + (y0 / (x1 - x0) - m0 * (x1 - x0) / 6) * (x1 - p_size) + (y1 / (x1 - x0) - m1 * (x1 - x0) / 6) * (p_size - x0), 6) AS v
+FROM part JOIN k ON p_size >= x0 AND (p_size < x1 OR x1 = 50 AND p_size <= x1)""")
 def cubic_spline(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.round(I.cubic_spline(F.col("p_size").cast("double"), [1, 10, 30, 50], [1, 4, 2, 9]), 6).alias("v"))
 
@@ -356,18 +371,21 @@ def rbf_kernel(spark, sf):
     return a.join(b, "s_nationkey").select("i", "j", F.round(C.kernel("rbf", [F.col("x")], [F.col("y")], 1e-6), 6).alias("k"))
 
 
-@query()
+@query(f"SELECT o_orderkey, ((row_number() OVER (ORDER BY {_H.format('o_orderkey')}, o_orderkey) - 1) % 5)::INT AS fold FROM orders")
 def k_fold(spark, sf):
     return S.k_fold(_t(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@query()
+@query(f"""WITH r AS (SELECT {_H.format("l_orderkey")} % 3 AS fold, l_quantity AS q, l_extendedprice AS y FROM lineitem), m AS (SELECT f, regr_slope(y, q) FILTER (WHERE fold <> f) AS s, regr_intercept(y, q) FILTER (WHERE fold <> f) AS i FROM r, (SELECT unnest([0, 1, 2]) AS f) GROUP BY f)
+SELECT f::INT AS fold, round(1 - sum((y - i - s * q) * (y - i - s * q)) / (var_pop(y) * count(*)), 6) AS score FROM r JOIN m ON fold = f GROUP BY f""")
 def cross_validate(spark, sf):
     scores = S.cross_validate(L.LinearRegression(["l_quantity"], "l_extendedprice"), _t(spark, sf, "lineitem"), "l_orderkey")
     return spark.createDataFrame([(k, round(s, 6)) for k, s in enumerate(scores)], "fold int, score double")
 
 
-@query()
+@query(f"""WITH r AS (SELECT {_H.format("l_orderkey")} % 2 AS fold, l_quantity AS q, l_extendedprice AS y FROM lineitem), g AS (SELECT unnest([0, 1]) AS f), p AS (SELECT unnest([0.0::DOUBLE, 1e5]) AS alpha),
+m AS (SELECT f, alpha, avg(q) AS mq, avg(y) AS my, covar_pop(y, q) * count(*) / (var_pop(q) * count(*) + alpha) AS w FROM r, g, p WHERE fold <> f GROUP BY f, alpha),
+s AS (SELECT f, alpha, 1 - sum((y - my - w * (q - mq)) * (y - my - w * (q - mq))) / (var_pop(y) * count(*)) AS score FROM r JOIN m ON fold = f GROUP BY f, alpha) SELECT alpha, round(avg(score), 6) AS score FROM s GROUP BY alpha""")
 def grid_search(spark, sf):
     _, results = S.grid_search(L.ridge(["l_quantity"], "l_extendedprice"), _t(spark, sf, "lineitem"), "l_orderkey", {"alpha": [0.0, 1e5]}, 2)
     return spark.createDataFrame([(p["alpha"], round(s, 6)) for p, s in results], "alpha double, score double")
@@ -515,12 +533,75 @@ def k_neighbors_proba(spark, sf):
     return N.kneighbors_proba(df, df.filter("c_custkey % 20 = 0"), "c_custkey", ["c_acctbal"], "c_mktsegment", 5, p=1.0)
 
 
-@query()
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_H.format('o_orderkey')}, o_orderkey) <= ceil(count(*) OVER () * 0.25) AS test FROM orders")
 def train_test_split(spark, sf):
     train, test = S.train_test_split(_t(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     return train.withColumn("test", F.lit(False)).union(test.withColumn("test", F.lit(True)))
 
 
-@query()
+@query("SELECT * FROM supplier")
 def shuffler(spark, sf):
     return P.shuffled(_t(spark, sf, "supplier"), "s_suppkey", 7)
+
+
+@query("SELECT t AS event_hour, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS t, event_type FROM events) GROUP BY ALL")
+def streaming_windows(spark, sf):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    path = f"{shared}/windows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_t(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    counts = W.windowed_counts(stream, "ts", ["event_type"])
+    W.latest_sink(counts, path).awaitTermination()
+    return W.read_latest(spark, path, counts.schema, ["start", "event_type"]).select(F.col("start").cast("timestamp_ntz").alias("event_hour"), "event_type", "n")
+
+
+@query("SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER (), 6) AS b FROM supplier")
+def scale(spark, sf):
+    return _r(P.scale(_t(spark, sf, "supplier"), ["s_acctbal"]), "s_suppkey", b="s_acctbal")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(var_pop({c}), 6) AS var, round(stddev_pop({c}), 6) AS std FROM lineitem" for c in ("l_quantity", "l_tax")))
+def mean_and_deviation(spark, sf):
+    return _r(P.mean_and_deviation(_t(spark, sf, "lineitem"), ["l_quantity", "l_tax"]), "column", "n", mean="mean", var="var", std="std")
+
+
+@query("SELECT c_custkey, " + ", ".join(f"(b = {k})::INT::DOUBLE AS b_{k}" for k in range(5)) + " FROM (SELECT c_custkey, least(4, greatest(0, floor((c_acctbal - lo) / ((hi - lo) / 5)))) AS b FROM customer, (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer))")
+def kbins_one_hot(spark, sf):
+    df = _t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("b"))
+    return P.KBinsDiscretizer(["b"], 5, "uniform", "onehot-dense").fit_transform(df).drop("b")
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN l_returnflag = '{v}' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS l_returnflag_{k}" for k, v in enumerate("ANR")) + ", l_returnflag FROM lineitem")
+def label_binarizer(spark, sf):
+    df = _t(spark, sf, "lineitem").select(*ITEM, "l_returnflag")
+    enc = P.LabelBinarizer(["l_returnflag"], -1.0, 1.0).fit(df)
+    return enc.inverse_transform(enc.transform(df).drop("l_returnflag"))
+
+
+@query("WITH c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT s_nationkey % 3 AS v FROM supplier UNION SELECT s_suppkey % 4 FROM supplier)) SELECT s_suppkey, " + ", ".join(f"(s_nationkey % 3 = {k})::INT::DOUBLE AS a_{k}, (s_suppkey % 4 = {k})::INT::DOUBLE AS b_{k}" for k in range(4)) + " FROM supplier")
+def position_binarizer(spark, sf):
+    df = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).alias("a"), (F.col("s_suppkey") % 4).alias("b"))
+    return P.PositionBinarizer(["a", "b"]).fit_transform(df).drop("a", "b")
+
+
+@query("""SELECT output, round(mse, 2) AS mse, round(mae, 4) AS mae, round(1 - mse * n / s, 6) AS r2 FROM (SELECT 0 AS output, avg((l_extendedprice - l_quantity * 1500) * (l_extendedprice - l_quantity * 1500)) AS mse, avg(abs(l_extendedprice - l_quantity * 1500)) AS mae, count(*) AS n, var_pop(l_extendedprice) * count(*) AS s FROM lineitem
+UNION ALL SELECT 1, avg((l_discount - l_tax) * (l_discount - l_tax)), avg(abs(l_discount - l_tax)), count(*), var_pop(l_discount) * count(*) FROM lineitem)""")
+def multioutput_scores(spark, sf):
+    df = _t(spark, sf, "lineitem").withColumn("g", F.col("l_quantity") * 1500)
+    out = M.multioutput_scores(df, [("l_extendedprice", "g"), ("l_discount", "l_tax")], "raw_values")
+    return out.select("output", F.round("mse", 2).alias("mse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
+@query(f"SELECT s AS threshold, round(tps / (tps + fps), 9) AS precision, round(tps / pos, 9) AS recall FROM (SELECT *, coalesce(lag(tps) OVER (ORDER BY s DESC), -1) AS lag_t FROM {_CURVE}) WHERE lag_t < pos")
+def precision_recall_curve(spark, sf):
+    return _r(M.precision_recall_curve(_guess(spark, sf), "y", "s"), "threshold", digits=9, precision="precision", recall="recall")
+
+
+@query("SELECT round(sum((x - coalesce(px, 0)) * (y + coalesce(py, 0)) / 2), 4) AS auc FROM (SELECT *, lag(x) OVER (ORDER BY x, y) AS px, lag(y) OVER (ORDER BY x, y) AS py FROM (SELECT p_size AS x, p_retailprice AS y FROM part))")
+def auc(spark, sf):
+    return _r(M.auc(_t(spark, sf, "part"), "p_size", "p_retailprice"), digits=4, auc="auc")
+
+
+@query("SELECT label, round(d, 6) AS d, round(q, 6) AS q FROM (SELECT l_returnflag AS label, quantile_disc(l_discount, 0.5) AS d, quantile_disc(l_quantity, 0.5) AS q FROM lineitem GROUP BY 1)")
+def nearest_median(spark, sf):
+    m = N.NearestCentroid(["l_discount", "l_quantity"], "l_returnflag", "manhattan").fit(_t(spark, sf, "lineitem"))
+    return spark.createDataFrame([(lab, round(float(c[0]), 6), round(float(c[1]), 6)) for lab, c in zip(m.labels, m.centers)], "label string, d double, q double")

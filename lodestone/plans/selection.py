@@ -3,31 +3,50 @@
 from __future__ import annotations
 
 import copy
+import math
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.linear import LinearRegression, Moments, moments
+from ..operators.ranks import numbered, seeded_hash
 
 
 def k_fold(df: DataFrame, id_col: str, k: int = 3, seed: int = 0) -> DataFrame:
-    """``df`` with a column fold: a partition of the ids by a seeded hash, the same however
-    the rows are dealt."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k)).cast("int"))
+    """``df`` with a column fold: rows of unique ids in a seeded order, dealt into folds of n // k
+    rows, the first n % k of them with one more."""
+    return numbered(df, id_col, seed).withColumn("fold", F.pmod("__rank", F.lit(k)).cast("int")).drop("__rank", "__total")
 
 
-def train_test_split(df: DataFrame, id_col: str, test_share: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(test_share * 1e6)
-    return df.filter(~draw), df.filter(draw)
+def group_fold(df: DataFrame, id_col: str, k: int = 3, seed: int = 0) -> DataFrame:
+    """``df`` with a column fold that the id alone decides, so that rows of one id stay together
+    and nothing is shuffled; folds are about equally large."""
+    return df.withColumn("fold", F.pmod(seeded_hash(id_col, seed), F.lit(k)).cast("int"))
 
 
-def cross_validate(model, df: DataFrame, id_col: str, k: int = 3, seed: int = 0, score=None) -> list[float]:
-    """The score of each fold by a model fitted to the others; r2 unless given."""
+def train_test_split(df: DataFrame, id_col: str, test_size: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The rows of unique ids in a seeded order: the first ceil(n * test_size) are the test, or
+    ceil(min(n, test_size)) if that is over 1."""
+    rows = numbered(df, id_col, seed)
+    size = F.ceil(F.col("__total") * F.lit(float(test_size))) if test_size <= 1 else F.least(F.col("__total"), F.lit(math.ceil(test_size)))
+    return rows.filter(F.col("__rank") >= size).drop("__rank", "__total"), rows.filter(F.col("__rank") < size).drop("__rank", "__total")
+
+
+def cross_validate(model, df: DataFrame, id_col: str, k: int = 3, seed: int = 0, score=None, jobs: int = 2) -> list[float]:
+    """The score of each fold by a model fitted to the others; r2 unless given. ``jobs`` folds run
+    at a time."""
     score = score or (lambda d: metrics.regression_scores(d, model.target, "prediction").first().r2)
-    folds = k_fold(df, id_col, k, seed)
-    return [float(score(copy.deepcopy(model).fit(folds.filter(F.col("fold") != f)).predict(folds.filter(F.col("fold") == f)))) for f in range(k)]
+    folds = group_fold(df, id_col, k, seed)
+
+    def run(f: int) -> float:
+        return float(score(copy.deepcopy(model).fit(folds.filter(F.col("fold") != f)).predict(folds.filter(F.col("fold") == f))))
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        return list(pool.map(run, range(k)))
 
 
 def parameter_grid(grid: dict[str, list]) -> list[dict]:
@@ -55,8 +74,6 @@ def merge(parts: list[Moments]) -> Moments:
     for m in parts[1:]:
         n, gap, gap_y = out.n + m.n, m.mean - out.mean, m.y_mean - out.y_mean
         f = out.n * m.n / n
-        import numpy as np
-
         out = Moments(n, out.mean + gap * m.n / n, out.xx + m.xx + f * np.outer(gap, gap), out.xy + m.xy + f * gap * gap_y, out.yy + m.yy + f * gap_y * gap_y, out.y_mean + gap_y * m.n / n)
     return out
 
@@ -64,7 +81,7 @@ def merge(parts: list[Moments]) -> Moments:
 def fold_coefficients(model: LinearRegression, df: DataFrame, id_col: str, k: int = 3, seed: int = 0) -> list:
     """Fits of a linear model to all folds but one, from one pass a fold: the moments of
     the training rows are those of the other folds together."""
-    folds = k_fold(df, id_col, k, seed)
+    folds = group_fold(df, id_col, k, seed)
     parts = [moments(folds.filter(F.col("fold") == f), model.columns, model.target) for f in range(k)]
     return [copy.deepcopy(model).fit_moments(merge(parts[:f] + parts[f + 1 :])) for f in range(k)]
 

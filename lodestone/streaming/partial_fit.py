@@ -37,4 +37,22 @@ def read_moments(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, time_col: str, keys: list[str], window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows by window and keys, rows later than ``late`` behind the newest are left out."""
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def latest_sink(counts: DataFrame, path: str, available_now: bool = True) -> StreamingQuery:
+    """Writes each batch's changed groups as one folder named by the batch, so that a batch run
+    again replaces its own; ``path`` gets the folders ``latest`` and ``checkpoint``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last written row of each group."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/latest")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
