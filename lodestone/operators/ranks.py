@@ -69,9 +69,9 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], interpolat
     lies, or with ``interpolate`` that between the values at both sides of share * (n - 1). Nulls
     and NaN aren't values; a column without values gives None.
 
-    A mergeable sketch brackets each wanted place, one scan counts what lies below and within the
-    brackets, narrower sketches follow while a bracket holds over ``enough`` rows, and only rows in
-    the brackets are grouped by value and counted up."""
+    While a bracket of a wanted place holds over ``enough`` rows, a mergeable sketch narrows it and
+    one scan counts what lies below and within; only rows in the brackets are then grouped by value
+    and counted up."""
     x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     clean = df.select(*[x[c].alias(f"c{k}") for k, c in enumerate(columns)])
     sizes = clean.agg(*[F.count(f"c{k}").alias(f"n{k}") for k in range(len(columns))]).first()
@@ -83,8 +83,7 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], interpolat
                 places[k, min(place, sizes[k] - 1) + 1] = None
     brackets = {key: (-math.inf, math.inf, 0, sizes[key[0]]) for key in places}  # low, high, rows below, rows within
     for _ in range(rounds):
-        wide = [key for key, (lo, hi, _, n) in brackets.items() if n > enough or hi - lo == math.inf]
-        wide = [key for key in wide if brackets[key][0] < brackets[key][1]]
+        wide = [key for key, (lo, hi, _, n) in brackets.items() if n > enough and lo < hi]
         if not wide:
             break
         asked = clean.select(*[F.when(F.col(f"c{k}").between(*brackets[k, p][:2]), F.col(f"c{k}")).alias(f"b{i}") for i, (k, p) in enumerate(wide)])
@@ -100,15 +99,19 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], interpolat
         for i, (key, (lo, hi)) in enumerate(tried.items()):
             if row[f"l{i}"] < key[1] <= row[f"l{i}"] + row[f"w{i}"]:
                 brackets[key] = lo, hi, row[f"l{i}"], row[f"w{i}"]
-    keys = list(places)
-    if keys:
-        inside = F.array(*[F.when(F.col(f"c{k}").between(*brackets[k, p][:2]), F.struct(F.lit(i).alias("i"), F.col(f"c{k}").alias("x"))) for i, (k, p) in enumerate(keys)])
+    shared: dict[tuple, list[int]] = {}  # (column, low, high, rows below) -> the places counted from its first row
+    for (k, p), (lo, hi, below, _) in brackets.items():
+        shared.setdefault((k, lo, hi, below), []).append(p - below)
+    if shared:
+        inside = F.array(*[F.when(F.col(f"c{k}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.col(f"c{k}").alias("x"))) for i, (k, lo, hi, _) in enumerate(shared)])
         found = clean.select(F.inline(F.array_compact(inside))).groupBy("i", "x").agg(F.count("*").alias("n"))
         up = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        place = F.element_at(F.lit([p - brackets[k, p][2] for k, p in keys]), F.col("i") + 1)
-        hit = found.select("i", "x", "n", F.sum("n").over(up).alias("run"), place.alias("place")).filter("run >= place and run - n < place")
-        for r in hit.collect():  # a row for each place
-            places[keys[r.i]] = r.x
+        wanted = F.element_at(F.lit(list(shared.values())), F.col("i") + 1)
+        hit = found.select("i", "x", "n", F.sum("n").over(up).alias("run"), wanted.alias("wanted")).filter(F.exists("wanted", lambda p: (F.col("run") >= p) & (F.col("run") - F.col("n") < p)))
+        bounds = list(shared)
+        for r in hit.collect():  # at most a row for each place
+            k, _, _, below = bounds[r.i]
+            places.update({(k, p + below): r.x for p in r.wanted if r.run - r.n < p <= r.run})
     out = {}
     for k, c in enumerate(columns):
         out[c] = []
