@@ -238,15 +238,29 @@ def _coefs(spark, coef, digits=6):
     return spark.createDataFrame([(k, round(float(c), digits)) for k, c in enumerate(np.ravel(coef))], "k int, coef double")
 
 
-@query()
+def _descent(product: str, alphas: str, out: str) -> str:
+    """SQL of 300 cycles of coordinate descent with an L1 penalty of alpha * n on a Gram matrix of three columns."""
+    names = ("l_quantity", "l_discount", "l_tax")
+    gram = [f"{product.format(names[i], names[j])} AS a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"{product.format(names[i], 'l_extendedprice')} AS b{i}" for i in range(3)]
+
+    def step(j: int, source: str) -> str:
+        rho = f"(b{j} - " + " - ".join(f"a{min(i, j)}{max(i, j)} * w{i}" for i in range(3) if i != j) + ")"
+        return f"(SELECT * REPLACE (sign({rho}) * greatest(abs({rho}) - alpha * n, 0) / a{j}{j} AS w{j}) FROM {source})"
+
+    return f"""WITH RECURSIVE g AS (SELECT count(*) AS n, {', '.join(gram)} FROM lineitem), c AS (SELECT 0 AS i, unnest({alphas}::DOUBLE[]) AS alpha, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2
+UNION ALL SELECT i + 1, alpha, w0, w1, w2 FROM {step(2, step(1, step(0, "(SELECT * FROM c, g WHERE i < 300)")))})
+SELECT {out} FROM (SELECT alpha, unnest([0, 1, 2]) AS k, unnest([w0, w1, w2]) AS w FROM c WHERE i = 300)"""
+
+
+@query(_descent("covar_pop({}, {}) * count(*)", "[1e5]", "k, round(w, 3) AS coef"))
 def lasso(spark, sf):
-    return _coefs(spark, L.lasso(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1e5).fit(_t(spark, sf, "lineitem")).coef)
+    return _coefs(spark, L.lasso(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1e5).fit(_t(spark, sf, "lineitem")).coef, 3)
 
 
-@query()
+@query(_descent("sum({} * {})", "[1.0, 1e4, 1e6]", "(row_number() OVER (ORDER BY alpha, k) - 1)::INT AS k, round(w, 3) AS coef"))
 def lasso_path(spark, sf):
     path = L.lasso_path(_t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [1.0, 1e4, 1e6])
-    return _coefs(spark, [c for _, w in path for c in w])
+    return _coefs(spark, [c for _, w in path for c in w], 3)
 
 
 @query("""WITH RECURSIVE g AS (SELECT count(*) AS n, var_pop(l_quantity) * count(*) AS a, covar_pop(l_quantity, l_discount) * count(*) AS c, var_pop(l_discount) * count(*) AS d, covar_pop(l_extendedprice, l_quantity) * count(*) AS p, covar_pop(l_extendedprice, l_discount) * count(*) AS q, var_pop(l_extendedprice) * count(*) AS yy FROM lineitem),
@@ -258,7 +272,12 @@ def bayesian_ridge(spark, sf):
     return _coefs(spark, L.BayesianRidge(["l_quantity", "l_discount"], "l_extendedprice").fit(_t(spark, sf, "lineitem")).coef, 2)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT (l_returnflag = 'N')::INT::DOUBLE AS y, l_quantity AS q, l_discount AS d FROM lineitem), t AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+UNION ALL SELECT i + 1, a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det, b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+  c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM
+    (SELECT i, a, b, c, sum(p - y) AS g0, sum((p - y) * q) + b AS g1, sum((p - y) * d) + c AS g2, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * q) AS h01, sum(p * (1 - p) * d) AS h02, sum(p * (1 - p) * q * q) + 1 AS h11, sum(p * (1 - p) * q * d) AS h12, sum(p * (1 - p) * d * d) + 1 AS h22
+     FROM (SELECT *, 1 / (1 + exp(-(a + b * q + c * d))) AS p FROM t, r WHERE i < 10) GROUP BY i, a, b, c)))
+SELECT k, round(CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 6) AS coef FROM t, (SELECT unnest([0, 1, 2]) AS k) WHERE i = 10""")
 def logistic_regression(spark, sf):
     df = _t(spark, sf, "lineitem").withColumn("y", (F.col("l_returnflag") == "N").cast("double"))
     m = L.LogisticRegression(["l_quantity", "l_discount"], "y", 1.0).fit(df)
