@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dot
 from .optimizers import minimize
-from .preprocessing import gram
 
 
 @dataclass
@@ -28,20 +27,25 @@ class Moments:
     y_mean: float
 
 
-def moments(df: DataFrame, columns: list[str], target: str, fit_intercept: bool = True) -> Moments:
-    """From one aggregate. Centred products are Spark's merged covariances, which don't lose digits
-    where means are large; rows with a missing value are left out."""
-    d, names = len(columns), [*columns, target]
-    if not fit_intercept:
-        g = gram(df.withColumn("__one", F.lit(1.0)), ["__one", *names])
-        return Moments(g[0, 0], np.zeros(d), g[1 : d + 1, 1 : d + 1], g[1 : d + 1, d + 1], g[d + 1, d + 1], 0.0)
-    work = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)]).dropna()
-    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-    row = work.agg(F.count("*").alias("n"), *[F.avg(f"c{k}").alias(f"m{k}") for k in range(d + 1)], *[F.covar_pop(f"c{i}", f"c{j}").alias(f"s{i}_{j}") for i, j in pairs]).first()
-    c, mean = np.zeros((d + 1, d + 1)), np.array([row[f"m{k}"] or 0.0 for k in range(d + 1)])
+def cross_products(df: DataFrame, columns: list[str], centered: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """n, the means (zeros unless ``centered``) and the products of the gaps from them, from one
+    aggregate. Centred ones are Spark's merged covariances, which keep their digits where means
+    are large. Rows with a missing value are left out."""
+    d = len(columns)
+    work = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).dropna()
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    product = F.covar_pop if centered else lambda x, y: F.avg(F.col(x) * F.col(y))
+    row = work.agg(F.count("*").alias("n"), *[F.avg(f"c{k}").alias(f"m{k}") for k in range(d)], *[product(f"c{i}", f"c{j}").alias(f"s{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((d, d))
     for i, j in pairs:
-        c[i, j] = c[j, i] = (row[f"s{i}_{j}"] or 0.0) * row.n
-    return Moments(float(row.n), mean[:d], c[:d, :d], c[:d, d], c[d, d], float(mean[d]))
+        out[i, j] = out[j, i] = (row[f"s{i}_{j}"] or 0.0) * row.n
+    return float(row.n), np.array([(row[f"m{k}"] or 0.0) if centered else 0.0 for k in range(d)]), out
+
+
+def moments(df: DataFrame, columns: list[str], target: str, fit_intercept: bool = True) -> Moments:
+    d = len(columns)
+    n, mean, c = cross_products(df, [*columns, target], fit_intercept)
+    return Moments(n, mean[:d], c[:d, :d], c[:d, d], c[d, d], float(mean[d]))
 
 
 @dataclass
@@ -138,11 +142,8 @@ class MultiTaskElasticNet:
     intercept: np.ndarray | None = field(default=None, init=False)
 
     def fit(self, df: DataFrame) -> MultiTaskElasticNet:
-        d, work = len(self.columns), df.select(F.lit(1.0).alias("__one"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate([*self.columns, *self.targets])])
-        g = gram(work, work.columns)
-        n = g[0, 0]
-        mean = g[0, 1:] / max(n, 1) if self.fit_intercept else np.zeros(len(g) - 1)
-        c = g[1:, 1:] - n * np.outer(mean, mean)
+        d = len(self.columns)
+        n, mean, c = cross_products(df, [*self.columns, *self.targets], self.fit_intercept)
         a, b, w = c[:d, :d], c[:d, d:], np.zeros((d, len(self.targets)))
         l1, l2 = self.alpha * self.l1_ratio * n, self.alpha * (1 - self.l1_ratio) * n
         for _ in range(self.max_iter):

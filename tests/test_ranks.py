@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import linear as L
 from lodestone.operators import metrics as M
 from lodestone.operators import neighbors as N
 from lodestone.operators import preprocessing as P
@@ -104,3 +105,10 @@ def test_label_encoder_merges(spark):
 def test_distances_keep_their_digits():
     a = np.array([[1e8, 1e8], [1e8 + 1, 1e8]])
     assert N.distances(a, a, 2).tolist() == [[0, 1], [1, 0]] and N.distances(a, a, float("inf")).tolist() == [[0, 1], [1, 0]]
+
+
+def test_fits_far_from_the_origin(spark):
+    df = spark.range(200).select((F.lit(1e9) + F.col("id") % 7).alias("x"), F.when(F.col("id") != 5, 3.0 * (F.col("id") % 7)).alias("y"))
+    one, many = L.LinearRegression(["x"], "y").fit(df), L.MultiTaskElasticNet(["x"], ["y"], 0.0).fit(df)
+    assert one.coef[0] == pytest.approx(3.0) and many.coef[0, 0] == pytest.approx(3.0)
+    assert L.LinearRegression(["x"], "y").fit(df.limit(0)).coef[0] == 0
