@@ -5,7 +5,10 @@ Paragraphs of a text are (a) its lines of ``MIN_WORDS`` words or more and (b) wi
 into the middle of a line. Windows are chosen by winnowing: of each ``WINNOW`` successive
 windows the one with the smallest hash. Every passage of MIN_WORDS + WINNOW - 1 (49) words
 or more that occurs twice, wherever it stands, holds a window that is chosen at both
-places.
+places. Chosen windows that repeat are anchors only: a match goes on at most WINNOW - 1
+words beyond its outermost anchors, so the windows that far beside them are compared as
+well, and what repeats is reported to its last word. Where all occurrences of an anchor
+follow the same anchor within MIN_WORDS words there is nothing to compare in between.
 
 Lines are compared by word 5-shingles: MinHash signatures of BANDS x ROWS values find
 lines that collide in a band, the exact Jaccard similarity of the shingle sets verifies
@@ -210,6 +213,32 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2", "bands"])
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, start, end, h1, h2) of the WINNOW - 1 windows to the asked sides of
+    anchors, each once a text."""
+    for b in batches:
+        asked = b.column(2).to_pylist()
+        for begin, texts in _slices(b.column(1)):
+            words = Words(texts)
+            places = [np.empty(0, np.int64)]
+            for k in range(len(texts)):
+                near = [
+                    np.arange(a["start"] - left * (WINNOW - 1), a["start"] + right * (WINNOW - 1) + 1)
+                    for a in asked[begin + k]
+                    for left, right in [(int(a["before"]), int(a["after"]))]
+                ]
+                at = np.unique(np.concatenate(near))
+                places.append(at[(at >= 0) & (at <= words.sizes[k] - MIN_WORDS)] + words.starts[k])
+            at = np.concatenate(places)
+            if not len(at):
+                continue
+            text = np.searchsorted(words.starts, at, "right") - 1
+            start = at - words.starts[text]
+            h1, h2 = (_grams(words.x, MIN_WORDS, by)[at].view(np.int64) for by in (_A, _B))
+            arrays = [b.column(0).take(pa.array(text + begin)), pa.array(start, pa.int32()), pa.array(start + MIN_WORDS, pa.int32()), pa.array(h1), pa.array(h2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2"])
+
+
 def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h1, h2, shingles) of the lines that can be compared; shingles: packed uint64
     hashes of the 5-shingles, repeats included."""
@@ -298,6 +327,40 @@ def line_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, si
     return ready.mapInArrow(_verify(similarity), f"a {kind}, b {kind}")
 
 
+def _repeated(windows: DataFrame, name: str) -> DataFrame:
+    """The rows of ``windows`` that occur in two documents, with the first occurrence."""
+    shared = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    # Written, so that the join deals both sides anew and splits a hot window's rows.
+    shared = materialize(shared.filter("first.doc_id != last").select("h1", "h2", "first"), name)
+    return windows.join(shared, ["h1", "h2"]).select("doc_id", "start", "end", "h1", "h2", "first")
+
+
+def beside_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, start, end, h1, h2): the windows beside ``anchors`` (chosen windows that
+    repeat) where a match may go on, in all documents that hold the anchor.
+
+    An anchor has nothing to ask on a side where all its occurrences have the same next
+    anchor at the same distance of at most MIN_WORDS: every match that holds it holds both,
+    and they leave no word between them."""
+    held = anchors.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "h1", "h2"))).alias("a"))
+
+    def next_to(a: Column, other: Column) -> Column:
+        gap = F.abs(a["start"] - other["start"])
+        return F.when(gap.between(1, MIN_WORDS), F.xxhash64(other["h1"], other["h2"], gap))
+
+    def with_next(a: Column, i: Column) -> Column:
+        before, after = F.get("a", i - 1), F.get("a", i + 1)
+        return F.struct(*[a[c].alias(c) for c in ("start", "h1", "h2")], next_to(a, before).alias("before"), next_to(a, after).alias("after"))
+
+    placed = materialize(held.select("doc_id", F.explode(F.transform("a", with_next)).alias("a")).select("doc_id", "a.*"), "anchors")
+    open_side = lambda c: ((F.count(c) < F.count("*")) | (F.min(c) != F.max(c))).alias(c)
+    asked = placed.groupBy("h1", "h2").agg(open_side("before"), open_side("after")).filter("before or after")
+    asked = placed.select("doc_id", "start", "h1", "h2").join(materialize(asked, "anchors-asked"), ["h1", "h2"])
+    by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "before", "after")).alias("asked"))
+    texts = rows.join(by_doc, "doc_id").select("doc_id", "text", "asked")
+    return texts.mapInArrow(_beside, "doc_id long, start int, end int, h1 long, h2 long")
+
+
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start, removed): every paragraph of a class
     that has more than one, as a word range [start, end) of its document, with the first
@@ -315,10 +378,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = units.filter("bands is not null")
     place = F.struct("doc_id", "start")
 
-    shared = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
-    # Written, so that the join deals both sides anew and splits a hot window's rows.
-    shared = materialize(shared.filter("first.doc_id != last").select("h1", "h2", "first"), "windows")
-    repeated = windows.join(shared, ["h1", "h2"]).select("doc_id", "start", "end", "first", (F.col("doc_id") != F.col("first.doc_id")).alias("removed"))
+    anchors = _repeated(windows, "windows")
+    beside = materialize(beside_anchors(rows, anchors), "windows-beside")
+    repeated = anchors.union(_repeated(beside, "windows-beside-shared"))
+    repeated = repeated.select("doc_id", "start", "end", "first", (F.col("doc_id") != F.col("first.doc_id")).alias("removed"))
 
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"))
     classes = materialize(classes.withColumn("doc_id", F.col("first.doc_id")), "paragraph-classes")

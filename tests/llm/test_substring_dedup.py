@@ -91,3 +91,26 @@ def test_hot_list_in_blocks_keeps_every_link(spark):
     edges = S.line_links(docs, units, "doc_id", "text", list_cap=4)
     nodes = {(r.node.h1, r.node.h2): (r.component.h1, r.component.h2) for r in S.connected_components(edges, "a", "b").collect()}
     assert len(nodes) == len(want) == 30 and len(set(nodes.values())) == 1
+
+
+def test_passages_are_covered_whole(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(120):
+        n = (49, 51, 60, 80, 120, 300)[k % 6]
+        # Much else in the lines, so that they aren't similar as lines.
+        p, head, tail = word(n), n // 2 + int(rng.integers(1, 70)), n // 2 + int(rng.integers(1, 40))
+        first, later = (word(head), word(tail)), (word(tail), word(head))
+        # A smaller id holds some words of the passage among others: the anchors' classes differ.
+        part = p.split()[n // 3 :][:40]
+        rows += [(10 * k, f"{word(50)} {' '.join(part)} {word(50)}"), (10 * k + 1, f"{first[0]} {p} {first[1]}"), (10 * k + 2, f"{later[0]} {p} {later[1]}")]
+        want[10 * k + 2] = (tail, tail + n, f"{later[0]} {later[1]}")
+        want[10 * k + 1] = (head, head + n, None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.duplicates(docs).collect()}
+    left = {r.doc_id: r.text for r in S.remove_repeats(docs).collect()}
+    for d, (start, end, text) in want.items():
+        assert [tuple(s) for s in got[d].spans] == [(start, end)]
+        if text is not None:
+            assert [tuple(s) for s in got[d].removed_spans] == [(start, end)] and left[d] == text
