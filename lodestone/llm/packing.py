@@ -37,7 +37,9 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 def _encoder(path: str):
     """text -> ids as an array, for a tokenizer file. A .tiktoken file has the ranks of the
     same vocabulary as its .json file and gives the same ids about five times as fast
-    (tests hold one against the other); strings of special tokens are ordinary text."""
+    (tests hold one against the other); strings of special tokens are ordinary text. A text
+    whose split overruns the stack of tiktoken's regex (a run of about a million white-space
+    characters) is encoded from the .json file."""
     if path.endswith(".tiktoken"):
         import tiktoken
         from public_tokenizers import PATTERN
@@ -45,7 +47,14 @@ def _encoder(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: e.encode_to_numpy(text, disallowed_special=())
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return e.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                return _encoder(path.removesuffix(".tiktoken") + ".json")(text)
+
+        return encode
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

@@ -47,6 +47,11 @@ def test_edge_rows_and_salted_ranks(spark, monkeypatch):
         P.pack(spark.createDataFrame([(1, 3000)], "a int, length int"), ["a"])
 
 
+def test_very_long_white_space_is_encoded(spark):
+    docs = [(1, "a" + " " * 1_100_000 + "b"), (2, "x\n" + "\n" * 1_100_000), (3, "a <|endoftext|> b" + "\t" * 1_100_000 + "c"), (4, "plain")]
+    whole(docs, P.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.tokenizer_path()).collect())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_the_demand_and_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)
