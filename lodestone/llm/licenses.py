@@ -3,7 +3,7 @@
 The classifier is a multinomial logistic regression over the sparse word uni- and bigrams
 of licence notices. It is trained in numpy on the driver from the notice templates below
 and variants of them; its weights are a small table, whose size the templates bound. A
-paragraph (line) without a word of the vocabulary has no feature at all and belongs to no
+paragraph (a line, or lines up to a blank one, joined) without a word of the vocabulary has no feature at all and belongs to no
 family; the others are scored by joining their n-grams with the weights. Probabilities are
 calibrated by a temperature fitted on held-back variants, under a floor that is fitted
 with them a paragraph is of unknown licence, and a family counts as confirmed if the words
@@ -90,6 +90,7 @@ class Model:
                     texts.append([*rng.choice(_PLAIN, front), *kept, *rng.choice(_PLAIN, back)])
                     labels.append(k)
         self.templates = [(name, sorted(set(tokens(t)))) for name, ts in TEMPLATES.items() for t in ts]
+        self.template_pairs = [(name, sorted({" ".join(p) for p in zip(tokens(t), tokens(t)[1:])})) for name, ts in TEMPLATES.items() for t in ts]
         vocabulary = {g for ts in (*TEMPLATES.values(), _OTHER) for t in ts for g in ngrams(tokens(t))}
         self.vocabulary = sorted(vocabulary)
         number = {g: k for k, g in enumerate(self.vocabulary)}
@@ -125,12 +126,16 @@ def trained() -> Model:
     return Model()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, template_family, confirmed): one row
-    per line (from 0) that has a word of the vocabulary. family is "unknown" where no family
-    reaches the floor; similarity is the share of a template's words that the line has, the
-    largest of any template of the family; confirmed: family isn't unknown and similarity
-    is at least CONFIRM.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, paragraphs: bool = False) -> DataFrame:
+    """(doc_id, line, last_line, family, probability, similarity, template_family,
+    confirmed): one row per line (from 0) that has a word of the vocabulary, last_line being
+    line. family is "unknown" where no family reaches the floor; similarity is the share of a
+    template's words that the line has, the largest of any template of the family;
+    confirmed: family isn't unknown and similarity is at least CONFIRM.
+
+    With ``paragraphs`` the paragraphs of several lines, up to a blank one, have rows of
+    their own, from line to last_line: a wrapped notice is one text there. As a long one has
+    many words, its similarity is the share of a template's pairs of adjacent words.
 
     Null and empty texts give no rows, nor does an empty table. Rows with a null or a
     repeated id give rows of their own. Other columns are ignored."""
@@ -142,36 +147,49 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     cues = sorted({w for g in model.vocabulary for w in g.split(" ")} - COMMON)
     lower = F.translate(F.col("line_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "line_text")).withColumn("last_line", F.col("line"))
+    if paragraphs:
+        text = lambda i: F.get("lines", i).rlike(r"\S")
+        edge = lambda by: F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: text(i) & ~F.coalesce(text(i + by), F.lit(False)))
+        blocks = rows.withColumn("lines", F.split("text", "\n")).withColumn("block", F.explode(F.arrays_zip(edge(-1).alias("line"), edge(1).alias("last_line"))))
+        blocks = blocks.select("doc_id", "row", "block.line", F.col("block.last_line").alias("last_line"), "lines").filter("last_line > line")
+        joined = F.array_join(F.slice("lines", F.col("line") + 1, F.col("last_line") - F.col("line") + 1), " ")
+        lines = lines.unionByName(blocks.select("doc_id", "row", "line", "last_line", joined.alias("line_text")))
     lines = lines.withColumn("words", F.regexp_extract_all(lower, F.lit(_TOKEN), F.lit(0)))
-    lines = lines.filter(F.arrays_overlap("words", F.lit(cues))).select("doc_id", "row", "line", "words")
+    lines = lines.filter(F.arrays_overlap("words", F.lit(cues))).select("doc_id", "row", "line", "last_line", "words")
+    # Only what a template has goes on: words of lines, pairs of paragraphs.
+    adjacent = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.concat_ws(" ", F.get("words", k), F.get("words", k + 1)))
+    adjacent = F.when(F.size("words") > 1, adjacent).otherwise(F.array().cast("array<string>"))
+    of = lambda c, templates: F.array_intersect(c, F.lit(sorted({w for _, ws in templates for w in ws})))
+    several = F.col("last_line") > F.col("line")
+    lines = lines.withColumn("seen", F.when(several, of(adjacent, model.template_pairs)).otherwise(of(F.col("words"), model.templates)))
 
     common = F.lit(sorted(COMMON))
     plain = lambda w: F.array_contains(common, w)
     single = F.filter("words", lambda w: ~plain(w))
     pair = lambda k: F.when(~(plain(F.col("words")[k]) & plain(F.col("words")[k + 1])), F.concat_ws(" ", F.col("words")[k], F.col("words")[k + 1]))
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), pair)).otherwise(F.array().cast("array<string>"))
-    grams = lines.select("doc_id", "row", "line", "words", F.explode(F.array_distinct(F.concat(single, F.filter(pairs, lambda g: g.isNotNull())))).alias("gram"))
+    grams = lines.select("doc_id", "row", "line", "last_line", "seen", F.explode(F.array_distinct(F.concat(single, F.filter(pairs, lambda g: g.isNotNull())))).alias("gram"))
     # The weights: one row for each n-gram of the templates, however large the input.
-    scored = grams.join(F.broadcast(table), "gram").groupBy("doc_id", "row", "line").agg(
-        F.first("words").alias("words"), *[F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(n)]
+    scored = grams.join(F.broadcast(table), "gram").groupBy("doc_id", "row", "line", "last_line").agg(
+        F.first("seen").alias("seen"), *[F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(n)]
     )
     logits = F.array(*[F.col(f"z{k}") + float(model.bias[k]) for k in range(n)])
-    scored = scored.select("doc_id", "line", F.array_distinct("words").alias("words"), logits.alias("z"))
+    scored = scored.select("doc_id", "line", "last_line", "seen", logits.alias("z"))
     shifted = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
     scored = scored.withColumn("e", shifted).withColumn("at", F.array_position("z", F.array_max("z")).cast("int"))
     scored = scored.withColumn("probability", 1 / F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     guess = F.element_at(F.lit(model.families), F.col("at"))
-    share = lambda words: F.size(F.array_intersect("words", F.lit(words))) / F.lit(float(len(words)))
-    by_family = [(name, F.greatest(*[share(w) for f, w in model.templates if f == name], F.lit(0.0))) for name in TEMPLATES]
-    scored = scored.withColumn("by_family", F.array(*[s for _, s in by_family]))
+    share = lambda words: F.size(F.array_intersect("seen", F.lit(words))) / F.lit(float(len(words)))
+    by_family = lambda templates: F.array(*[F.greatest(*[share(w) for f, w in templates if f == name], F.lit(0.0)) for name in TEMPLATES])
+    scored = scored.withColumn("by_family", F.when(several, by_family(model.template_pairs)).otherwise(by_family(model.templates)))
     family = F.when((guess != "unknown") & (F.col("probability") >= model.floor), guess).otherwise("unknown")
     similarity = F.when(F.col("family") == "unknown", F.array_max("by_family")).otherwise(F.element_at("by_family", F.col("at")))
     closest = F.element_at(F.lit(list(TEMPLATES)), F.array_position("by_family", F.array_max("by_family")).cast("int"))
     out = scored.withColumn("family", family).withColumn("similarity", similarity).withColumn("template_family", closest)
     confirmed = (F.col("family") != "unknown") & (F.col("similarity") >= CONFIRM)
-    return out.select("doc_id", "line", "family", "probability", "similarity", "template_family", confirmed.alias("confirmed"))
+    return out.select("doc_id", "line", "last_line", "family", "probability", "similarity", "template_family", confirmed.alias("confirmed"))
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), paragraphs=True)

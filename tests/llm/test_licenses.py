@@ -45,3 +45,32 @@ def test_scores_equal_numpy(spark):
 def test_the_plan_runs_no_python(spark):
     plan = L.op6_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+   \r
+1. Redistributions of source code must retain the above copyright notice."""
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    prose = "\n".join("the people of the town use it under the general terms and any person may copy the license" for _ in range(30))
+    df = spark.createDataFrame([(1, MIT), (2, BSD), (3, prose), (4, None), (5, "\n\n")], "doc_id long, text string")
+    got = L.scan(df, paragraphs=True).collect()
+    whole = {(r.doc_id, r.line, r.last_line, r.family) for r in got if r.confirmed and r.last_line > r.line}
+    assert whole == {(1, 4, 9, "mit"), (2, 2, 3, "bsd")}
+    assert not [r for r in got if r.doc_id > 3]
+    lines = [tuple(r) for r in got if r.last_line == r.line]
+    assert sorted(lines) == sorted(map(tuple, L.scan(df).collect()))
