@@ -14,11 +14,19 @@ _OWN: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only
-    where that is unset (tests) a folder of this process, removed at exit."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one
+    given to ``setCheckpointDir``. Only a local master may go without (tests): it gets a
+    folder of this process, removed at exit. On a cluster such a folder would be another
+    one on each machine, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lodestone-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -37,20 +45,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
-    there, so a lost executor costs no recomputation and nothing runs twice."""
+    there, so a lost executor costs no recomputation and nothing runs twice. The shuffles
+    behind the table are of no use from then on; a collection on the driver lets Spark's
+    cleaner delete their files at once rather than at some later one."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.lodestone_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by materialize()."""
-    path = getattr(df, "lodestone_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables made by materialize()."""
+    for df in tables:
+        path = getattr(df, "lodestone_path", None)
+        if path:
+            drop_path(df.sparkSession, path)
 
 
 def utf8_rows(column: pa.Array) -> list[bytes]:

@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if state == before:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.lodestone_path = now.lodestone_path  # so that the caller can discard the table
+    return out

@@ -1,26 +1,35 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs of a text are (a) its lines of ``MIN_WORDS`` words or more and (b) windows of
-``MIN_WORDS`` words at content-defined places, because a repeated passage is often pasted
-into the middle of a line. Windows are chosen by winnowing: of each ``WINNOW`` successive
-windows the one with the smallest hash. Every passage of MIN_WORDS + WINNOW - 1 (49) words
-or more that occurs twice, wherever it stands, holds a window that is chosen at both
-places. Chosen windows that repeat are anchors only: a match goes on at most WINNOW - 1
-words beyond its outermost anchors, so the windows that far beside them are compared as
-well, and what repeats is reported to its last word. Where all occurrences of an anchor
-follow the same anchor within MIN_WORDS words there is nothing to compare in between.
-
-Lines are compared by word 5-shingles: MinHash signatures of BANDS x ROWS values find
-lines that collide in a band, the exact Jaccard similarity of the shingle sets verifies
-them, and connected components over the verified links form classes. Eight bands of three
-rows find a pair at similarity 0.8 with probability 0.997. Windows are short and stand for
-verbatim repeats: they collide and are verified in one step, by 128 bits of hash.
-Of each class the first occurrence (smallest doc_id, then place) stays; the others are
-spans to remove.
-
-Equal lines become one class before banding. A band's list is searched breadth first over
-its not yet reached members and emits a spanning forest, never all pairs; a list of more
-than ``list_cap`` members is dealt into pairs of blocks. Grouping pre-aggregates.
+A text has paragraphs of two kinds.
+
+(a) Its lines of ``MIN_WORDS`` words or more, and runs of shorter lines up to a blank or a
+long one, joined, if they have that many words together (a hard-wrapped paragraph). They
+are compared by word 5-shingles: MinHash signatures of BANDS x ROWS values find paragraphs
+that collide in a band, the exact Jaccard similarity of the shingle sets verifies them, and
+connected components over the verified links form classes. Eight bands of three rows find
+a pair at similarity 0.8 with probability 0.997. Of each class the first occurrence
+(smallest doc_id, then place) stays.
+
+(b) Every run of ``PASSAGE`` (49) words, wherever it begins, since a repeated passage is often
+pasted into the middle of a line. Such a run is the set of its windows of ``ANCHOR`` words,
+its MinHash is the window with the smallest hash, and it is a band of its own: equal runs
+have equal MinHashes, so each pair of them collides. Over all runs of a text these minima
+are few (two in 35 words); only they are rows. Of the places that share a MinHash, its
+anchors, each is compared with the earlier ones word for word, to both sides, as far as a
+run of PASSAGE words that holds the anchor can reach: the longest agreement with any of
+them is a match, and the earliest of those that reach as far is its partner. What matches
+cover without a gap is a repeated passage if it has PASSAGE words; its later occurrences
+go, and its words are reported at the partners too. So every passage of 49 words that
+occurs twice is found and cut to its last word.
+
+Words are compared by hashes of 64 bits, neighbours of anchors by 32 bits of them. Equal
+lines become one class before banding. A band's list is searched breadth first over its
+not yet reached members and emits a spanning forest, never all pairs; a list of more than
+``list_cap`` members is dealt into pairs of blocks. Neighbours of anchors are compared in
+tries: a group of up to ``list_cap`` places in one task, a larger one after it was split
+by what agrees with its earliest place and how far, as often as needed. All that groups is
+pre-aggregated. Texts are moved once: for the neighbours of repeated anchors and the
+shingles of paragraphs that collide.
 """
 
 from __future__ import annotations
@@ -30,18 +39,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, utf8_rows
+from ._common import discard, materialize, utf8_rows
 from .components import connected_components
 
 MIN_WORDS = 24
-WINNOW = 26
+PASSAGE = 49
+ANCHOR = 16
+WINNOW = PASSAGE - ANCHOR + 1
+REACH = PASSAGE - ANCHOR
 SHINGLE = 5
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
+LIST_CAP = 2000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,6 +63,7 @@ _C, _D = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_PLACES = _rng.integers(0, 2**63, REACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,7 +104,8 @@ class Words:
     that what belongs to a text can be told by place.
 
     x: word hashes, 0 in gaps; starts, sizes: of each text's words in x; lines: rows
-    (text, start, end) of the lines of MIN_WORDS words or more, start and end in x."""
+    (text, start, end) of the lines of MIN_WORDS words or more and of the joined runs of
+    shorter ones, start and end in x."""
 
     def __init__(self, texts: list[bytes]):
         digest = xxhash.xxh64_intdigest
@@ -98,11 +114,20 @@ class Words:
         starts, sizes, lines = [], [], []
         for k, text in enumerate(texts):
             starts.append(len(flat))
+            run, many = len(flat), 0
             for line in text.lower().split(b"\n"):
                 w = line.split()
-                if len(w) >= MIN_WORDS:
-                    lines.append((k, len(flat), len(flat) + len(w)))
+                if not 0 < len(w) < MIN_WORDS:
+                    if many > 1 and len(flat) - run >= MIN_WORDS:
+                        lines.append((k, run, len(flat)))
+                    if w:
+                        lines.append((k, len(flat), len(flat) + len(w)))
+                    run, many = len(flat) + len(w), 0
+                else:
+                    many += 1
                 flat += map(digest, w)
+            if many > 1 and len(flat) - run >= MIN_WORDS:
+                lines.append((k, run, len(flat)))
             sizes.append(len(flat) - starts[-1])
             flat += gap
         self.x = np.array(flat, np.uint64)
@@ -128,25 +153,24 @@ class Words:
         words = self.x[np.repeat(s, size) + place]
         return _mix(np.add.reduceat(_mix(words * by + place.astype(np.uint64) * _D), first) + size.astype(np.uint64))
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and both hashes of the chosen windows."""
-        ok = self.inside(MIN_WORDS)
-        if not ok.any():
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-        most = np.uint64(2**64 - 1)
-        grams = _grams(self.x, MIN_WORDS, _A)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, texts and hashes of the MinHashes of all runs of PASSAGE words.
+
+        Where a text repeats itself within ANCHOR words (a word over and over), all windows
+        are smallest; of such a stretch the first, the last and one in WINNOW are taken."""
+        grams = _grams(self.x, ANCHOR, _A)
         n = len(grams)
-        hashes = np.where(ok[:n], grams, most)
-        chosen = _winnowed(hashes, self.inside(MIN_WORDS + WINNOW - 1)[: n - WINNOW + 1])
-        # Texts with fewer windows than a winnow has: their smallest one.
-        short = (self.sizes >= MIN_WORDS) & (self.sizes < MIN_WORDS + WINNOW - 1)
-        if short.any():
-            count = self.sizes[short] - MIN_WORDS + 1
-            first = np.cumsum(count) - count
-            at = np.repeat(self.starts[short], count) + np.arange(int(count.sum())) - np.repeat(first, count)
-            least = np.minimum.reduceat(hashes[at], first)
-            chosen = np.r_[chosen, at[hashes[at] == np.repeat(least, count)]]
-        return chosen, grams[chosen], _grams(self.x, MIN_WORDS, _B)[chosen]
+        if n < WINNOW:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        hashes = np.where(self.inside(ANCHOR)[:n], grams, np.uint64(2**64 - 1))
+        at = _winnowed(hashes, self.inside(PASSAGE)[: n - WINNOW + 1])
+        h = grams[at]
+        new = np.r_[True, (h[1:] != h[:-1]) | (np.diff(at) >= ANCHOR)][: len(at)]
+        begin = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        step = (at - begin) // WINNOW
+        keep = new | np.r_[new[1:], True][: len(at)] | np.r_[True, step[1:] != step[:-1]][: len(at)]
+        at, h = at[keep], h[keep]
+        return at, np.searchsorted(self.starts, at, "right") - 1, h
 
     def bands(self) -> np.ndarray:
         """A row of band keys for each line."""
@@ -191,66 +215,223 @@ def _slices(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list
         yield begin, run
 
 
+UNITS = "doc_id long, t long, start int, end int, h1 long, h2 long, bands array<long>"
+_DETAILS = "side int, g long, c long, doc_id long, t long, start int, hot boolean, data binary"
+_PLACE = "g long, doc_id long, t long, start int, side int, c long, data binary, base int, p_doc_id long, p_t long, p_start int"
+_MATCH = "doc_id long, t long, start int, side int, length int, p_doc_id long, p_t long, p_start int"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch of the columns of a schema of plain types; lists may hold None."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, start, end, h1, h2, bands): lines with bands, windows without."""
+    """UNITS rows from (doc_id, t, text): paragraphs with bands, and a row without for each
+    different anchor of a text, with its hash in h1 and its number in start."""
     for b in batches:
-        for begin, texts in _slices(b.column(1)):
+        for begin, texts in _slices(b.column(2)):
             words = Words(texts)
-            at, w1, w2 = words.windows()
+            _, text, h = words.anchors()
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])][: len(h)])
+            many, text, h = np.diff(np.r_[new, len(h)]), text[new], h[new]
             line_text, s, e = words.lines.T
-            text = np.r_[np.searchsorted(words.starts, at, "right") - 1, line_text].astype(np.int64)
-            if not len(text):
+            if not len(text) + len(s):
                 continue
-            start = np.r_[at, s] - words.starts[text]
-            end = np.r_[at + MIN_WORDS, e] - words.starts[text]
-            keys = words.bands().view(np.int64)
-            offsets = np.r_[np.zeros(len(at), np.int64), np.arange(len(s) + 1) * BANDS]
-            none = np.r_[np.ones(len(at), bool), np.zeros(len(s), bool)]
-            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()), mask=pa.array(none))
-            h1, h2 = (np.r_[w, words.line_hashes(by)].astype(np.uint64).view(np.int64) for w, by in ((w1, _A), (w2, _B)))
-            doc_ids = b.column(0).take(pa.array(text + begin))
-            arrays = [doc_ids, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h1), pa.array(h2), bands]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2", "bands"])
-
-
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, start, end, h1, h2) of the WINNOW - 1 windows to the asked sides of
-    anchors, each once a text."""
+            rows = pa.array(np.r_[text, line_text] + begin)
+            none = np.r_[np.ones(len(h), bool), np.zeros(len(s), bool)]
+            start = np.r_[many, s - words.starts[line_text]]
+            end = np.r_[np.zeros(len(h), np.int64), e - words.starts[line_text]]
+            offsets = np.r_[np.zeros(len(h), np.int64), np.arange(len(s) + 1) * BANDS]
+            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words.bands().view(np.int64).ravel()), mask=pa.array(none))
+            h1 = np.r_[h, words.line_hashes(_A)].astype(np.uint64).view(np.int64)
+            h2 = np.r_[np.zeros(len(h), np.uint64), words.line_hashes(_B)].astype(np.uint64).view(np.int64)
+            arrays = [b.column(0).take(rows), b.column(1).take(rows), pa.array(start, pa.int32()), pa.array(end, pa.int32(), mask=none), pa.array(h1), pa.array(h2, mask=none), bands]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t", "start", "end", "h1", "h2", "bands"])
+
+
+def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_DETAILS rows from (doc_id, t, text, anchors, lines). side 0 and 1: the REACH words
+    before (nearest first) and behind each place of the asked anchors, as 32-bit hashes,
+    0 past the text; c is a hash of them, and a task gives ``data`` with the first of equal
+    ones only, but always for hot anchors. side 2: the 5-shingles of the asked lines."""
+    seen: set[int] = set()
     for b in batches:
-        asked = b.column(2).to_pylist()
-        for begin, texts in _slices(b.column(1)):
+        for begin, texts in _slices(b.column(2)):
             words = Words(texts)
-            places = [np.empty(0, np.int64)]
-            for k in range(len(texts)):
-                near = [
-                    np.arange(a["start"] - left * (WINNOW - 1), a["start"] + right * (WINNOW - 1) + 1)
-                    for a in asked[begin + k]
-                    for left, right in [(int(a["before"]), int(a["after"]))]
-                ]
-                at = np.unique(np.concatenate(near))
-                places.append(at[(at >= 0) & (at <= words.sizes[k] - MIN_WORDS)] + words.starts[k])
-            at = np.concatenate(places)
-            if not len(at):
-                continue
-            text = np.searchsorted(words.starts, at, "right") - 1
+            asked = b.column(3).slice(begin, len(texts))
+            owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(asked), 0).to_numpy())
+            flat = asked.flatten()
+            wanted = _mix(flat.field(0).to_numpy().view(np.uint64) * _B + owner.astype(np.uint64))
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], flat.field(1).to_numpy(zero_copy_only=False)[order]
+            at, text, h = words.anchors()
+            key = _mix(h * _B + text.astype(np.uint64))
+            where = np.minimum(np.searchsorted(wanted, key), max(0, len(wanted) - 1))
+            found = wanted[where] == key if len(wanted) else np.zeros(len(key), bool)
+            at, text, h, hot = at[found], text[found], h[found], hot[where[found]] if len(wanted) else np.empty(0, bool)
+            x = np.r_[np.zeros(REACH, np.uint32), (words.x >> np.uint64(32)).astype(np.uint32), np.zeros(PASSAGE, np.uint32)]
+            doc_id, t = (b.column(k).take(pa.array(text + begin)).to_numpy() for k in (0, 1))
             start = at - words.starts[text]
-            h1, h2 = (_grams(words.x, MIN_WORDS, by)[at].view(np.int64) for by in (_A, _B))
-            arrays = [b.column(0).take(pa.array(text + begin)), pa.array(start, pa.int32()), pa.array(start + MIN_WORDS, pa.int32()), pa.array(h1), pa.array(h2)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "h1", "h2"])
-
+            size = words.sizes[text]
+            step = np.arange(REACH)
+            for side in (0, 1):
+                near = x[(at + REACH - 1)[:, None] - step] if side == 0 else x[(at + REACH + ANCHOR)[:, None] + step]
+                room = start if side == 0 else size - start - ANCHOR
+                near[step >= room[:, None]] = 0
+                c = _mix((near.astype(np.uint64) * _PLACES).sum(axis=1, dtype=np.uint64) + np.uint64(side))
+                g = _mix(h + np.uint64(side))
+                data: list[bytes | None] = [None] * len(g)
+                for k, (name, keep) in enumerate(zip(_mix(g * _A + c).tolist(), hot.tolist(), strict=True)):
+                    if keep or name not in seen:
+                        seen.add(name)
+                        data[k] = near[k].tobytes()
+                if len(seen) > 500_000:
+                    seen.clear()
+                if len(g):
+                    yield _batch(_DETAILS, [np.full(len(g), side), g.view(np.int64), c.view(np.int64), doc_id, t, start, hot, data])
+            lines = [r for k in range(len(texts)) for r in ((k, *y.values()) for y in b.column(4)[begin + k].as_py() or [])]
+            if lines:
+                grams = _grams(words.x, SHINGLE, _A)
+                packed = [grams[words.starts[k] + s : words.starts[k] + e - SHINGLE + 1].tobytes() for k, s, e, _, _ in lines]
+                none = [None] * len(lines)
+                yield _batch(_DETAILS, [[2] * len(lines), [r[3] for r in lines], [r[4] for r in lines], none, none, none, none, packed])
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list:
+    """Columns as arrays (null numbers 0), binary ones as lists."""
+    out = []
+    for n in names:
+        c = batch.column(batch.schema.get_field_index(n))
+        out.append(c.to_pylist() if pa.types.is_binary(c.type) else pc.fill_null(c, 0).to_numpy(zero_copy_only=False))
+    return out
+
+
+def _words_in(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.uint32).reshape(-1, REACH)
+
+
+def _earlier(g: np.ndarray, c: np.ndarray, data: list) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of (g, place): the words of the longest agreement with an
+    earlier row of the group and the first row that agrees so far (-1: the first itself)."""
+    n = len(g)
+    _, first, kind = np.unique(_mix(g.view(np.uint64) * _A + c.view(np.uint64)), return_index=True, return_inverse=True)
+    have = np.array([k for k, d in enumerate(data) if d is not None])
+    _, one = np.unique(kind[have], return_index=True)
+    x = _words_in([data[k] for k in have[one]])
+    length, partner = np.full(n, -1), np.full(n, -1)
+    later = np.arange(n) != first[kind]
+    ends = np.where((x == 0).any(axis=1), (x == 0).argmax(axis=1), REACH)
+    length[later], partner[later] = ends[kind[later]], first[kind[later]]
+    order = np.argsort(first)
+    rows, x = first[order], x[order]
+    active, node = np.arange(len(rows)), g[rows].view(np.uint64)
+    for k in range(REACH + 1):
+        if k:
+            word = x[active, k - 1]
+            live = word > 0
+            active, node = active[live], (node[live] << np.uint64(32)) | word[live]
+        _, least, at, many = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        best = rows[active[least[at]]] if len(active) else rows[:0]
+        here = rows[active]
+        other = best != here
+        length[here[other]], partner[here[other]] = k, best[other]
+        again = many[at] > 1
+        active, node = active[again], at[again].astype(np.uint64)
+        if not len(active):
+            break
+    return length, partner
+
+
+def _matches(batches: Iterator[pa.RecordBatch], size: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """_MATCH rows from _PLACE rows sorted by (g, doc_id, t, start). A match of a text with
+    itself counts only if the two places can't overlap however far they reach."""
+    names = [f.split(" ")[0] for f in _PLACE.split(", ")]
+    kept: list | None = None
+
+    def join(a: list | None, b: list) -> list:
+        return b if a is None else [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]
+
+    def done(rows: list) -> Iterator[pa.RecordBatch]:
+        g, doc_id, t, start, side, c, data, base, *given = rows
+        if not len(g):
+            return
+        length, partner = _earlier(g, c, data)
+        first = partner < 0
+        p = [np.where(first, own, col[partner]) for own, col in zip(given, (doc_id, t, start), strict=True)]
+        length = np.where(first, base, length)
+        own = (p[0] == doc_id) & (p[1] == t)
+        ok = (length >= 0) & ~(own & (start - p[2] < ANCHOR + 2 * REACH))
+        if ok.any():
+            yield _batch(_MATCH, [v[ok] for v in (doc_id, t, start, side, length, *p)])
 
-def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h1, h2, shingles) of the lines that can be compared; shingles: packed uint64
-    hashes of the 5-shingles, repeats included."""
     for b in batches:
-        for _, texts in _slices(b.column(0)):
-            words = Words(texts)
-            if not len(words.lines):
-                continue
-            grams = _grams(words.x, SHINGLE, _A)
-            packed = [grams[s : e - SHINGLE + 1].tobytes() for _, s, e in words.lines.tolist()]
-            h1, h2 = (words.line_hashes(by).view(np.int64) for by in (_A, _B))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(packed, pa.binary())], names=["h1", "h2", "shingles"])
+        kept = join(kept, _columns(b, names))
+        if len(kept[0]) >= size:
+            end = int(np.flatnonzero(np.r_[True, kept[0][1:] != kept[0][:-1]])[-1])
+            yield from done([v[:end] for v in kept])
+            kept = [v[end:] for v in kept]
+    if kept is not None:
+        yield from done(kept)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_PLACE rows and ``done`` from such rows beside the earliest place of their group
+    (q_doc_id, q_t, q_start, q_data): the new group is what agrees with that as far and goes
+    on with the same word; places that can agree no further with any are done."""
+    names = [f.split(" ")[0] for f in _PLACE.split(", ")]
+    for b in batches:
+        g, doc_id, t, start, side, c, data, base, *given = _columns(b, names)
+        *q, q_data = _columns(b, ["q_doc_id", "q_t", "q_start", "q_data"])
+        x, y = _words_in(data), _words_in(q_data)
+        same = (x == y) & (x > 0)
+        length = np.where(same.all(axis=1), REACH, same.argmin(axis=1))
+        word = np.where(length < REACH, x[np.arange(len(x)), np.minimum(length, REACH - 1)], 0)
+        self_ = (q[0] == doc_id) & (q[1] == t) & (q[2] == start)
+        g = _mix(_mix(g.view(np.uint64) * _A + length.astype(np.uint64)) * _B + word).view(np.int64)
+        p = [np.where(self_, a, z) for a, z in zip(given, q, strict=True)]
+        place = _batch(_PLACE, [g, doc_id, t, start, side, c, data, np.where(self_, base, length), *p])
+        yield pa.RecordBatch.from_arrays([*place.columns, pa.array(self_ | (word == 0))], names=[*names, "done"])
+
+
+def passage_matches(details: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+    """_MATCH rows: for each side of each place of a repeated anchor that isn't its first,
+    the words that agree with an earlier place, and the earliest that agrees so far. A table
+    made by materialize()."""
+    none = {"base": ("int", -1), "p_doc_id": ("long", None), "p_t": ("long", None), "p_start": ("int", None)}
+    columns = [f.split(" ")[0] for f in _PLACE.split(", ")]
+    places = details.filter("side < 2").withColumns({c: F.lit(v).cast(k) for c, (k, v) in none.items()})
+    ready = places.filter("not hot").select(columns)
+    state, made = places.filter("hot").select(columns), []
+    matches = None
+    while True:
+        sizes = materialize(state.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > list_cap).select("g"), "anchor-groups")
+        made.append(sizes)
+        if sizes.isEmpty():
+            ready = ready.union(state)
+            break
+        large = state.join(sizes, "g")
+        least = F.min(F.struct("doc_id", "t", "start", "data")).alias("q")
+        pivots = large.groupBy("g").agg(least).select("g", *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("doc_id", "t", "start", "data")])
+        # Written, so that the join deals both sides anew and splits a hot group's rows.
+        pivots = materialize(pivots, "anchor-pivots")
+        ready = ready.union(state.join(sizes, "g", "left_anti"))
+        split = materialize(large.join(pivots, "g").mapInArrow(_split, f"{_PLACE}, done boolean"), "anchor-split")
+        made += [pivots, split]
+        over = ANCHOR + 2 * REACH
+        end = split.filter(f"done and base >= 0 and not (p_doc_id = doc_id and p_t = t and start - p_start < {over})")
+        end = end.select("doc_id", "t", "start", "side", F.col("base").alias("length"), "p_doc_id", "p_t", "p_start")
+        matches = end if matches is None else matches.union(end)
+        state = split.filter("not done").select(columns)
+    ready = ready.repartition("g").sortWithinPartitions("g", "doc_id", "t", "start")
+    found = ready.mapInArrow(_matches, _MATCH)
+    out = materialize(found if matches is None else found.union(matches), "passage-matches")
+    discard(*made)
+    return out
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -305,18 +486,19 @@ def _verify(similarity: float):
     return run
 
 
-def line_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, list_cap: int = 2000) -> DataFrame:
-    """(a, b): verified links between different lines, as structs of the line's hashes.
-    ``lines`` has a row per distinct line: h1, h2, doc_id (one that holds it), bands."""
+def band_lists(lines: DataFrame) -> DataFrame:
+    """(h1, h2, band, n): lines that share a band with another of the n there. ``lines`` has
+    a row per distinct line with h1, h2 and bands. A table made by materialize()."""
     postings = lines.select("h1", "h2", F.explode("bands").alias("band"))
     sizes = materialize(postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "paragraph-sizes")
     met = materialize(postings.join(sizes, "band"), "paragraph-lists")
-    want = met.select("h1", "h2").distinct()
-    holders = lines.join(want, ["h1", "h2"]).select(F.col("doc_id").alias("__holder")).distinct()
-    texts = docs.join(holders, docs[id_col] == F.col("__holder"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
-    found = texts.mapInArrow(_line_shingles, "h1 long, h2 long, shingles binary")
-    # Only lines that met another; one row each.
-    sets = found.join(want, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    discard(sizes)
+    return met
+
+
+def line_links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, list_cap: int = LIST_CAP) -> DataFrame:
+    """(a, b): verified links between different lines, as structs of the line's hashes.
+    ``met``: band_lists(); ``sets``: (h1, h2, shingles) with a row for each line of them."""
     dealt = met.withColumn("blocks", F.ceil(F.col("n") / list_cap))
     dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h1", "h2"), "blocks")).otherwise(F.lit(0)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -327,108 +509,125 @@ def line_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, si
     return ready.mapInArrow(_verify(similarity), f"a {kind}, b {kind}")
 
 
-def _repeated(windows: DataFrame, name: str) -> DataFrame:
-    """The rows of ``windows`` that occur in two documents, with the first occurrence."""
-    shared = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
-    # Written, so that the join deals both sides anew and splits a hot window's rows.
-    shared = materialize(shared.filter("first.doc_id != last").select("h1", "h2", "first"), name)
-    return windows.join(shared, ["h1", "h2"]).select("doc_id", "start", "end", "h1", "h2", "first")
-
-
-def beside_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, start, end, h1, h2): the windows beside ``anchors`` (chosen windows that
-    repeat) where a match may go on, in all documents that hold the anchor.
-
-    An anchor has nothing to ask on a side where all its occurrences have the same next
-    anchor at the same distance of at most MIN_WORDS: every match that holds it holds both,
-    and they leave no word between them."""
-    held = anchors.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "h1", "h2"))).alias("a"))
-
-    def next_to(a: Column, other: Column) -> Column:
-        gap = F.abs(a["start"] - other["start"])
-        return F.when(gap.between(1, MIN_WORDS), F.xxhash64(other["h1"], other["h2"], gap))
-
-    def with_next(a: Column, i: Column) -> Column:
-        before, after = F.get("a", i - 1), F.get("a", i + 1)
-        return F.struct(*[a[c].alias(c) for c in ("start", "h1", "h2")], next_to(a, before).alias("before"), next_to(a, after).alias("after"))
-
-    placed = materialize(held.select("doc_id", F.explode(F.transform("a", with_next)).alias("a")).select("doc_id", "a.*"), "anchors")
-    open_side = lambda c: ((F.count(c) < F.count("*")) | (F.min(c) != F.max(c))).alias(c)
-    asked = placed.groupBy("h1", "h2").agg(open_side("before"), open_side("after")).filter("before or after")
-    asked = placed.select("doc_id", "start", "h1", "h2").join(materialize(asked, "anchors-asked"), ["h1", "h2"])
-    by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "before", "after")).alias("asked"))
-    texts = rows.join(by_doc, "doc_id").select("doc_id", "text", "asked")
-    return texts.mapInArrow(_beside, "doc_id long, start int, end int, h1 long, h2 long")
-
-
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, first_doc_id, first_start, removed): every paragraph of a class
-    that has more than one, as a word range [start, end) of its document, with the first
-    occurrence of its class; removed is false for the first occurrence alone.
-
-    A class whose paragraphs all lie in one document isn't reported for windows. Null and
-    empty texts have no paragraphs; rows with a null id are left out, as a span must name
-    its document. Rows that repeat an id count as one document: spans of equal rows are
-    reported once each. An empty table gives an empty result."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    units = materialize(
-        rows.mapInArrow(_units, "doc_id long, start int, end int, h1 long, h2 long, bands array<long>"), "paragraphs"
-    )
-    windows = units.filter("bands is null").select("doc_id", "start", "end", "h1", "h2")
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, text) of the rows with an id. t is a hash of the text: it and the id name
+    a row, so that rows which repeat an id with another text aren't taken for each other."""
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_cap: int = LIST_CAP) -> DataFrame:
+    """(doc_id, t, start, end, first_doc_id, first_start, removed, line): word ranges
+    [start, end) of documents that occur elsewhere too, with an earlier occurrence; removed
+    is false where a range is itself the earlier one. line: a paragraph of kind (a), else a
+    match of kind (b), of any length; see duplicates() for what counts.
+
+    t is a hash of the text, as rows may repeat an id. Null and empty texts have no
+    paragraphs; rows with a null id are left out, as a span must name its document. Equal
+    rows count as one document. A paragraph that a text repeats itself is reported, too;
+    matches of a text with itself only where the two places are PASSAGE + REACH words apart.
+    An empty table gives an empty result. Other columns are ignored. A table made by
+    materialize()."""
+    rows = keyed(docs, id_col, text_col)
+    units = materialize(rows.mapInArrow(_units, UNITS), "paragraphs")
     lines = units.filter("bands is not null")
-    place = F.struct("doc_id", "start")
-
-    anchors = _repeated(windows, "windows")
-    beside = materialize(beside_anchors(rows, anchors), "windows-beside")
-    repeated = anchors.union(_repeated(beside, "windows-beside-shared"))
-    repeated = repeated.select("doc_id", "start", "end", "first", (F.col("doc_id") != F.col("first.doc_id")).alias("removed"))
-
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"))
-    classes = materialize(classes.withColumn("doc_id", F.col("first.doc_id")), "paragraph-classes")
-    near = connected_components(line_links(rows, classes, "doc_id", "text"), "a", "b")
-    near = near.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
-    joined = classes.join(near, ["h1", "h2"], "left").filter("component is not null or n > 1")
+
+    anchors = units.filter("bands is null").select("doc_id", "t", F.col("h1").alias("h"), F.col("start").alias("n"))
+    repeated = materialize(anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    wanted = anchors.drop("n").join(repeated, "h").select("doc_id", "t", F.struct("h", (F.col("n") > list_cap).alias("hot")).alias("a"))
+
+    first = F.min(F.struct("doc_id", "t", "start", "end")).alias("first")
+    classes = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.min("bands").alias("bands"))
+    classes = materialize(classes, "paragraph-classes")
+    met = band_lists(classes)
+    held = classes.join(met.select("h1", "h2").distinct(), ["h1", "h2"]).select("first.doc_id", "first.t", F.struct("first.start", "first.end", "h1", "h2").alias("l"))
+
+    null = lambda other, c: F.lit(None).cast(other.schema[c].dataType).alias(c)
+    both = wanted.select("doc_id", "t", "a", null(held, "l")).union(held.select("doc_id", "t", null(wanted, "a"), "l"))
+    asked = both.groupBy("doc_id", "t").agg(F.collect_list("a").alias("anchors"), F.collect_list("l").alias("lines"))
+    details = rows.join(asked, ["doc_id", "t"]).select("doc_id", "t", "text", "anchors", "lines").mapInArrow(_details, _DETAILS)
+    details = materialize(details, "paragraph-details")
+    discard(repeated)
+
+    matches = passage_matches(details, list_cap)
+    p_doc, p_start, before = F.col("p_doc_id"), F.col("p_start"), F.when(F.col("side") == 0, F.col("length")).otherwise(0)
+    size = ANCHOR + F.col("length")
+    later = matches.select("doc_id", "t", (F.col("start") - before).alias("start"), size.alias("size"), p_doc.alias("first_doc_id"), (p_start - before).alias("first_start"), F.lit(True).alias("removed"))
+    earlier = matches.select(p_doc.alias("doc_id"), F.col("p_t").alias("t"), (p_start - before).alias("start"), size.alias("size"), p_doc.alias("first_doc_id"), (p_start - before).alias("first_start"), F.lit(False).alias("removed"))
+    # The places of a document bound its different rows, however often it is the earlier one.
+    windows = later.union(earlier).distinct()
+    windows = windows.select("doc_id", "t", "start", (F.col("start") + F.col("size")).alias("end"), "first_doc_id", "first_start", "removed", F.lit(False).alias("line"))
+
+    sets = details.filter("side = 2").groupBy(F.col("g").alias("h1"), F.col("c").alias("h2")).agg(F.first("data").alias("shingles"))
+    near = connected_components(line_links(met, sets, list_cap=list_cap), "a", "b")
+    by_line = near.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
+    joined = classes.join(by_line, ["h1", "h2"], "left").filter("component is not null or n > 1")
     joined = joined.select("h1", "h2", "first", F.coalesce("component", F.struct("h1", "h2")).alias("component"))
     joined = materialize(joined, "paragraph-joined")
-    firsts = joined.groupBy("component").agg(F.min("first").alias("first"))
-    named = joined.select("h1", "h2", "component").join(firsts, "component").select("h1", "h2", "first")
-    near_lines = lines.select("doc_id", "start", "end", "h1", "h2").join(named, ["h1", "h2"])
-    near_lines = near_lines.select("doc_id", "start", "end", "first", (place != F.col("first")).alias("removed"))
-
-    both = repeated.union(near_lines)
-    return both.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "removed")
-
-
-def _merged(spans: Column) -> Column:
-    """Sorted spans as disjoint ones."""
-    kind = "array<struct<start:int,end:int>>"
-
-    def add(done: Column, s: Column) -> Column:
-        tail = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(
-            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(tail["start"].alias("start"), F.greatest(tail["end"], s["end"]).alias("end"))),
-        )
-        return F.when((F.size(done) > 0) & (s["start"] <= tail["end"]), joined).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
-
-
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with a repeated paragraph: doc_id, spans and removed_spans
-    (disjoint word ranges: of all its repeated paragraphs, and of those to remove),
-    n_removed_words and first_doc_ids (the documents with the first occurrences)."""
-    found = duplicate_spans(docs, id_col, text_col)
-    span = F.struct("start", "end")
-    # The spans of a document are no more than its words: the group is bounded by its text.
-    by_doc = found.groupBy("doc_id").agg(
-        F.collect_set(span).alias("spans"),
-        F.collect_set(F.when(F.col("removed"), span)).alias("removed_spans"),
-        F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-    )
-    by_doc = by_doc.select("doc_id", _merged(F.col("spans")).alias("spans"), _merged(F.col("removed_spans")).alias("removed_spans"), "first_doc_ids")
-    total = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return by_doc.select("doc_id", "spans", "removed_spans", total.alias("n_removed_words"), "first_doc_ids")
+    discard(classes, met, near)
+    # Written for the joins, that they may split a hot component's or line's rows.
+    firsts = materialize(joined.groupBy("component").agg(F.min("first").alias("first")), "paragraph-firsts")
+    named = materialize(joined.select("h1", "h2", "component").join(firsts, "component").select("h1", "h2", "first"), "paragraph-named")
+    spans = lines.select("doc_id", "t", "start", "end", "h1", "h2").join(named, ["h1", "h2"])
+    is_first = F.struct("doc_id", "t", "start") == F.struct("first.doc_id", "first.t", "first.start")
+    spans = spans.select("doc_id", "t", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), (~is_first).alias("removed"), F.lit(True).alias("line"))
+    out = materialize(spans.distinct().union(windows), "duplicate-spans")
+    discard(units, details, matches, joined, firsts, named)
+    return out
+
+
+def _merge(spans: np.ndarray) -> np.ndarray:
+    """Rows (start, end) as sorted disjoint ones; what touches is joined."""
+    if not len(spans):
+        return spans.reshape(-1, 2)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
+    return np.c_[spans[new, 0], reach[np.r_[new[1:] - 1, len(spans) - 1]]]
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t, found) to one row of merged spans each; see duplicates()."""
+    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for b in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for doc_id, t, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows = np.array([(f["start"], f["end"], f["removed"], f["line"], f["first_doc_id"]) for f in found], np.int64)
+            line, gone = rows[:, 3] > 0, rows[:, 2] > 0
+            passages = [_merge(rows[~line & some, :2]) for some in (np.ones(len(rows), bool), gone)]
+            passages = [p[p[:, 1] - p[:, 0] >= PASSAGE] for p in passages]
+            spans, removed = (_merge(np.r_[p, rows[line & some, :2]]) for p, some in zip(passages, (np.ones(len(rows), bool), gone), strict=True))
+            if not len(spans):
+                continue
+            inside = line.copy()
+            if len(passages[0]):
+                at = np.searchsorted(passages[0][:, 0], rows[:, 0], "right") - 1
+                inside |= (at >= 0) & (rows[:, 1] <= passages[0][np.maximum(at, 0), 1])
+            as_rows = lambda s: [{"start": int(a), "end": int(e)} for a, e in s]
+            values = (doc_id, t, as_rows(spans), as_rows(removed), int((removed[:, 1] - removed[:, 0]).sum()), np.unique(rows[inside, 4]).tolist())
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pair, pair, pa.int64(), pa.list_(pa.int64())]
+        names = ["doc_id", "t", "spans", "removed_spans", "n_removed_words", "first_doc_ids"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_cap: int = LIST_CAP) -> DataFrame:
+    """One row per different document with a repeated paragraph: doc_id, t (a hash of its
+    text), spans and removed_spans (disjoint word ranges: of all its repeated paragraphs, and
+    of those to remove), n_removed_words and first_doc_ids (the documents with the first
+    occurrences). Matches count where together they cover PASSAGE words or more. Nulls,
+    empty texts, repeated ids and rows: see duplicate_spans(). A table made by
+    materialize()."""
+    found = duplicate_spans(docs, id_col, text_col, list_cap)
+    # The different spans of a document are bounded by its text.
+    by_doc = found.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end", "removed", "line", "first_doc_id")).alias("found"))
+    span = "array<struct<start:int,end:int>>"
+    kind = f"doc_id long, t long, spans {span}, removed_spans {span}, n_removed_words long, first_doc_ids array<long>"
+    out = materialize(by_doc.mapInArrow(_by_document, kind), "duplicates")
+    discard(found)
+    return out
 
 
 def cut_words(text: bytes, spans: list[dict]) -> bytes:
@@ -444,11 +643,13 @@ def cut_words(text: bytes, spans: list[dict]) -> bytes:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the spans to remove. Columns stay; n_chars, if there is one, counts
     the new text. A document that loses all its words goes; others stay, those without
-    repeated paragraphs unchanged."""
+    repeated paragraphs unchanged. Rows that repeat an id have their own spans each; equal
+    rows have the same. Rows with a null id or text stay as they are."""
     found = duplicates(docs, id_col, text_col).filter("n_removed_words > 0")
-    spans = found.select(F.col("doc_id").alias("__doc"), F.col("removed_spans").alias("__spans"))
-    joined = docs.join(spans, docs[id_col].cast("long") == F.col("__doc"), "left")
-    ready = joined.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"), "__spans")
+    spans = found.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), F.col("removed_spans").alias("__spans"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"))
+    ready = rows.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__t")), "left").select("row", "text", "__spans")
     kind = ready.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +657,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spans = b.column(2).to_pylist()
             texts = b.column(1).to_pylist()
             new = [t if s is None or t is None else cut_words(t.encode(), s).decode() for t, s in zip(texts, spans, strict=True)]
-            gone = [s is not None and not n.split() for n, s in zip(new, spans, strict=True)]
+            gone = [s is not None and n is not None and not n.encode().split() for n, s in zip(new, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array(gone)], names=["row", "text", "gone"])
 
     cut = ready.mapInArrow(run, f"row {kind}, text string, gone boolean").filter("not gone")

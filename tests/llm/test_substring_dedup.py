@@ -2,6 +2,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from lodestone.llm import substring_dedup as S
 
 
@@ -87,8 +88,10 @@ def test_hot_list_in_blocks_keeps_every_link(spark):
         rows.append((k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_lines(rows)
-    units = docs.mapInArrow(S._units, "doc_id long, start int, end int, h1 long, h2 long, bands array<long>").filter("bands is not null")
-    edges = S.line_links(docs, units, "doc_id", "text", list_cap=4)
+    units = S.keyed(docs).mapInArrow(S._units, S.UNITS).filter("bands is not null").cache()
+    words = [S.Words([r.text.encode()]) for r in docs.collect()]
+    sets = [(int(w.line_hashes(S._A).view(np.int64)[0]), int(w.line_hashes(S._B).view(np.int64)[0]), S._grams(w.x[:60], 5, S._A).tobytes()) for w in words]
+    edges = S.line_links(S.band_lists(units), spark.createDataFrame(sets, "h1 long, h2 long, shingles binary"), list_cap=4)
     nodes = {(r.node.h1, r.node.h2): (r.component.h1, r.component.h2) for r in S.connected_components(edges, "a", "b").collect()}
     assert len(nodes) == len(want) == 30 and len(set(nodes.values())) == 1
 
@@ -114,3 +117,80 @@ def test_passages_are_covered_whole(spark):
         assert [tuple(s) for s in got[d].spans] == [(start, end)]
         if text is not None:
             assert [tuple(s) for s in got[d].removed_spans] == [(start, end)] and left[d] == text
+
+
+def brute_passages(rows, n=S.PASSAGE):
+    """Places of the words in runs of n words that also occur elsewhere, and in later ones:
+    row -> (repeated, later)."""
+    at = defaultdict(list)
+    words = [(t or "").lower().split() for _, t in rows]
+    for k, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append((rows[k][0], k, i))
+    some, later = defaultdict(set), defaultdict(set)
+    for places in at.values():
+        for d, k, i in places:
+            if len(places) > 1:
+                some[k] |= set(range(i, i + n))
+            if (d, k, i) != min(places):
+                later[k] |= set(range(i, i + n))
+    return some, later
+
+
+@pytest.mark.parametrize("cap", [2000, 3])
+def test_passages_equal_brute_force(spark, cap):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    common, rows = [fresh(n) for n in (49, 60, 90, 200)], []
+    for k in range(160):
+        w = fresh(int(rng.integers(0, 40)))
+        for _ in range(int(rng.integers(1, 4))):
+            p = common[int(rng.integers(0, 4))]
+            a = int(rng.integers(0, max(1, len(p) // 3)))
+            w += [*p[a if k % 2 else 0 :], *fresh(int(rng.integers(5, 60)))]
+        # No line has MIN_WORDS words, and blank ones keep them apart.
+        rows.append((k // 2 if k < 20 else k, "\n\n".join(" ".join(w[i : i + 20]) for i in range(0, len(w), 20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some, later = brute_passages(rows)
+    number = {t: k for k, (_, t) in enumerate(rows)}
+    t_of = {r.t: number[r.text] for r in S.keyed(docs).collect()}
+    covered, gone = defaultdict(set), defaultdict(set)
+    for r in S.duplicates(docs, list_cap=cap).collect():
+        covered[t_of[r.t]] = {p for s in r.spans for p in range(s.start, s.end)}
+        gone[t_of[r.t]] = {p for s in r.removed_spans for p in range(s.start, s.end)}
+    apart = {k for k in range(len(rows)) for w in [rows[k][1].split()] if len(set(w)) == len(w)}
+    assert len(apart) > 60
+    for k in range(len(rows)):
+        assert some[k] <= covered[k], k
+        if k in apart and rows[k][0] >= 10:
+            assert later[k] <= gone[k], k
+    # Beyond that only what matches of fewer words, joined without a gap, make together.
+    short, _ = brute_passages(rows, S.ANCHOR)
+    assert all(covered[k] <= short[k] for k in apart)
+    assert sum(len(covered[k] - some[k]) for k in apart) <= 0.001 * sum(map(len, some.values()))
+
+
+def test_repeated_ids_have_their_own_spans(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(45))
+    rows = [(3, line), (9, line), (9, "unique short text"), (9, other), (9, line), (10, "a b\n" + "c d e f g h\n" * 1)]
+    left = sorted((r.doc_id, r.text) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted([rows[0], rows[2], rows[3], rows[5]])
+
+
+def test_wrapped_paragraphs_are_one(spark):
+    w = [f"w{i}" for i in range(60)]
+    wrap = lambda x, n: "\n".join(" ".join(x[i : i + n]) for i in range(0, len(x), n))
+    changed = [*w[:30], "else", *w[31:]]
+    rows = [(1, "short head\n\n" + wrap(w, 9)), (2, wrap(changed, 11) + "\n\nother words here"), (3, wrap([f"u{i}" for i in range(60)], 9))]
+    got = {r.doc_id: r for r in S.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2} and [tuple(s) for s in got[2].removed_spans] == [(0, 60)] and [tuple(s) for s in got[1].spans] == [(2, 62)]
+
+
+def test_a_word_over_and_over_is_bounded(spark):
+    rows = [(1, "z " * 100_000), (2, "y " * 300 + "x"), (3, "q " + "y " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = S.keyed(docs).mapInArrow(S._units, S.UNITS).filter("bands is null").collect()
+    assert sum(r.start for r in units) < 2 * 100_600 / S.WINNOW
+    got = {r.doc_id: r for r in S.duplicates(docs).collect()}
+    assert got[3].n_removed_words > 200 and got[1].removed_spans[0].start >= S.PASSAGE
