@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, utf8_rows
+from ._common import discard, materialize, utf8_rows
 from .components import connected_components
 
 BITS = 4
@@ -72,22 +72,29 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long. A null or wordless
-    text has fingerprint zero. Rows with a repeated id keep one row each."""
+    """(doc_id, t, fp, wordless) with fp the fingerprint's 64 bits as a signed long and t a
+    hash of the text, which with the id names a row. A null or wordless text has fingerprint
+    zero. Rows with a repeated id keep one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter(map(fingerprint, utf8_rows(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            texts = utf8_rows(b.column(2))
+            fp = np.fromiter(map(fingerprint, texts), np.uint64, b.num_rows)
+            wordless = np.fromiter((not t or t.isspace() for t in texts), bool, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(wordless)], names=["doc_id", "t", "fp", "wordless"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t long, fp long, wordless boolean")
 
 
 def _near(x: np.ndarray, bits: int) -> np.ndarray:
-    """Of xored fingerprints: tally of shared positional bytes, then the Hamming check."""
-    shared = 8 - np.count_nonzero(x.view(np.uint8).reshape(-1, 8), axis=1)
-    return (shared >= 8 - bits) & (np.bitwise_count(x) <= bits)
+    """Of xored fingerprints: tally of shared positional bytes, then the Hamming check of the
+    pairs that reach the minimum."""
+    out = np.count_nonzero(x.view(np.uint8).reshape(-1, 8), axis=1) <= bits
+    kept = np.flatnonzero(out)
+    out[kept] = np.bitwise_count(x[kept]) <= bits
+    return out
 
 
 def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +191,20 @@ def links(distinct: DataFrame, bits: int = BITS, list_cap: int = 16384) -> DataF
     return sorted_lists.mapInArrow(_runs(bits), "a long, b long")
 
 
+def _named(fps: DataFrame, least, name: str, bits: int) -> DataFrame:
+    """(fp, ``name``): the smallest ``least`` of the component of each fingerprint of ``fps``.
+    A table made by materialize()."""
+    classes = materialize(fps.groupBy("fp").agg(F.min(least).alias("least")), "simhash-classes")
+    joined = connected_components(links(classes.select("fp"), bits), "a", "b")
+    roots = classes.join(joined, classes.fp == joined.node, "left")
+    roots = materialize(roots.select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    # Written, so that the join deals both sides anew and splits a hot component's rows.
+    named = materialize(roots.groupBy("root").agg(F.min("least").alias(name)), "simhash-least")
+    out = materialize(roots.join(named, "root").select("fp", name), "simhash-named")
+    discard(classes, joined, roots, named)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lower-case hex digits) and
     component_id, the smallest id that links of ``bits`` or fewer differing bits reach.
@@ -191,28 +212,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint zero and link like any other. A null id keeps
     its row; it never names a component unless all ids of the component are null. Repeated
     rows stay repeated. An empty table gives an empty result. Other columns are ignored."""
-    fps = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    joined = connected_components(links(classes.select("fp"), bits), "a", "b")
-    roots = classes.join(joined, classes.fp == joined.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(roots.join(named, "root").select("fp", "component_id"), "simhash-named")
+    fps = materialize(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "simhash")
+    by_fp = _named(fps, F.col("doc_id"), "component_id", bits)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(by_fp, "fp").select("doc_id", digits, "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the
-    smallest id stays. Rows without a word and rows with a null id all stay: they say
-    nothing about being copies of each other."""
-    found = near_duplicates(docs, id_col, text_col)
-    zero = "0" * 16
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("fingerprint") != zero)).select(
-        F.col("doc_id").alias("__gone")
-    )
-    return docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` without near-duplicates: of each component one row stays, that
+    with the smallest id (a null id comes last; among rows of one id that of the smallest
+    hash of the text; among equal ones any). Rows without a word all stay, and don't link:
+    they say nothing about being copies of each other, nor of a text whose fingerprint
+    happens to be zero. Rows that repeat an id are told apart by their texts. Columns stay,
+    whatever their names; an empty table gives an empty result."""
+    fps = materialize(fingerprints(docs, id_col, text_col).filter("not wordless").select("doc_id", "t", "fp"), "simhash")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    by_fp = _named(fps, key, "stays", BITS)
+    rows = fps.groupBy("fp", "doc_id", "t").agg(F.count("*").alias("n")).join(by_fp, "fp")
+    same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("t") == F.col("stays.t"))
+    marks = rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), (~same).alias("__gone"), (F.col("n") > 1).alias("__many"))
+    marks = materialize(marks.filter("__gone or __many"), "simhash-marks")
+    discard(fps, by_fp)
+
+    text = F.col(text_col).cast("string")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"))
+    joined = lambda m, how: held.join(m, held.id.eqNullSafe(m["__id"]) & (held.t == m["__t"]), how)
+    out = joined(marks, "left_anti").select("row.*")
+    again = marks.filter("not __gone")
+    if not again.isEmpty():
+        once = joined(again, "left_semi").groupBy("id", "t").agg(F.first("row").alias("row"))
+        out = out.union(once.select("row.*"))
+    return out
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

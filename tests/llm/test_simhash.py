@@ -44,7 +44,36 @@ def test_edge_rows(spark):
     assert got == brute(rows)
     assert [g[1] for g in got[:3]] == ["0" * 16] * 3
     assert S.near_duplicates(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 2, 3, 4, 4, 5, 6]
+    # The equal rows of id 4 are copies of each other: one stays.
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 2, 3, 4, 5, 6]
+    assert S.keep_one(docs).columns == docs.columns and S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_of_an_id_apart(spark, monkeypatch):
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, line), (9, line), (9, "another text that copies nothing"), (4, line + " x"), (4, line + " x"), (None, line), (None, "of no id"), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int")
+    assert S.fingerprint((line + " x").encode()) ^ S.fingerprint(line.encode()) != 0
+    left = sorted(((r.doc_id or 0), r.text) for r in S.keep_one(docs).collect())
+    near = bin(S.fingerprint((line + " x").encode()) ^ S.fingerprint(line.encode())).count("1") <= 4
+    want = [(0, "of no id"), (3, line), (5, ""), (5, " "), (9, "another text that copies nothing")] + ([] if near else [(4, line + " x")])
+    assert left == sorted(want)
+
+
+def test_a_fingerprint_near_zero_is_no_empty_text(spark, monkeypatch):
+    real = S.fingerprint
+    monkeypatch.setattr(S, "fingerprint", lambda t: {b"zero": 0, b"near": 3, b"near too": 5}.get(t, real(t)))
+    rows = [(1, ""), (2, None), (3, "near"), (4, "zero"), (5, "near too"), (6, "far from it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fake = S.fingerprints
+
+    def local(docs, id_col="doc_id", text_col="text"):
+        keys = {(r.doc_id, r.text): r.t for r in fake(docs).select("doc_id", "t").join(docs, "doc_id").collect()}
+        got = [(r.doc_id, keys[r.doc_id, r.text], S.fingerprint((r.text or "").encode()), not (r.text or "").strip()) for r in docs.collect()]
+        return spark.createDataFrame([(d, t, f - 2**64 if f >= 2**63 else f, w) for d, t, f, w in got], "doc_id long, t long, fp long, wordless boolean")
+
+    monkeypatch.setattr(S, "fingerprints", local)
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 2, 3, 6]
 
 
 def test_hot_list_in_blocks_keeps_every_link(spark):
