@@ -577,40 +577,60 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _merge(spans: np.ndarray) -> np.ndarray:
-    """Rows (start, end) as sorted disjoint ones; what touches is joined."""
-    if not len(spans):
-        return spans.reshape(-1, 2)
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
-    return np.c_[spans[new, 0], reach[np.r_[new[1:] - 1, len(spans) - 1]]]
+def _merge(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (owner, start, end) as sorted disjoint ones; what touches is joined."""
+    if not len(owner):
+        return owner, start, end
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    # Owners stand one behind the other, each on a stretch of its own.
+    base = owner * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(base + end)
+    new = np.flatnonzero(np.r_[True, (base + start)[1:] > reach[:-1]])
+    last = np.r_[new[1:] - 1, len(owner) - 1]
+    return owner[new], start[new], (reach - base)[last]
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, t, found) to one row of merged spans each; see duplicates()."""
-    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def lists(n: int, owner: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+
+    def spans(n: int, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        pairs = [pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        return lists(n, owner, pa.StructArray.from_arrays(pairs, names=["start", "end"]))
+
     for b in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc_id, t, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows = np.array([(f["start"], f["end"], f["removed"], f["line"], f["first_doc_id"]) for f in found], np.int64)
-            line, gone = rows[:, 3] > 0, rows[:, 2] > 0
-            passages = [_merge(rows[~line & some, :2]) for some in (np.ones(len(rows), bool), gone)]
-            passages = [p[p[:, 1] - p[:, 0] >= PASSAGE] for p in passages]
-            spans, removed = (_merge(np.r_[p, rows[line & some, :2]]) for p, some in zip(passages, (np.ones(len(rows), bool), gone), strict=True))
-            if not len(spans):
-                continue
-            inside = line.copy()
-            if len(passages[0]):
-                at = np.searchsorted(passages[0][:, 0], rows[:, 0], "right") - 1
-                inside |= (at >= 0) & (rows[:, 1] <= passages[0][np.maximum(at, 0), 1])
-            as_rows = lambda s: [{"start": int(a), "end": int(e)} for a, e in s]
-            values = (doc_id, t, as_rows(spans), as_rows(removed), int((removed[:, 1] - removed[:, 0]).sum()), np.unique(rows[inside, 4]).tolist())
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pair, pair, pa.int64(), pa.list_(pa.int64())]
-        names = ["doc_id", "t", "spans", "removed_spans", "n_removed_words", "first_doc_ids"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        n, found = b.num_rows, b.column(2)
+        owner = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
+        flat = found.flatten()
+        start, end, gone, line, first = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        start, end = start.astype(np.int64), end.astype(np.int64)
+
+        def some(which: np.ndarray) -> tuple[tuple, tuple]:
+            """The passages that are long enough, and they with the lines, merged."""
+            own = ~line & which  # noqa: B023
+            passages = _merge(owner[own], start[own], end[own])  # noqa: B023
+            long = passages[2] - passages[1] >= PASSAGE
+            passages = tuple(x[long] for x in passages)
+            lines = [x[line & which] for x in (owner, start, end)]  # noqa: B023
+            return passages, _merge(*(np.r_[x, y] for x, y in zip(passages, lines, strict=True)))
+
+        passages, everything = some(np.ones(len(owner), bool))
+        _, removed = some(gone)
+        inside = line.copy()
+        if len(passages[0]):
+            wide = int(end.max()) + 2
+            at = np.maximum(0, np.searchsorted(passages[0] * wide + passages[1], owner * wide + start, "right") - 1)
+            inside |= (passages[0][at] == owner) & (passages[1][at] <= start) & (end <= passages[2][at])
+        order = np.lexsort((first[inside], owner[inside]))
+        o, f = owner[inside][order], first[inside][order]
+        new = np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1])][: len(o)]
+        many = np.bincount(removed[0], removed[2] - removed[1], n).astype(np.int64)
+        columns = [b.column(0), b.column(1), spans(n, *everything), spans(n, *removed), pa.array(many), lists(n, o[new], pa.array(f[new], pa.int64()))]
+        out = pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "spans", "removed_spans", "n_removed_words", "first_doc_ids"])
+        yield out.filter(pc.greater(pc.list_value_length(out.column(2)), 0))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_cap: int = LIST_CAP) -> DataFrame:
