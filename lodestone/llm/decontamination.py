@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import utf8_rows
+from ._common import discard, materialize, utf8_rows
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -45,18 +45,15 @@ class TestSuffixes:
         self.tokens = np.array([self.vocabulary[x] for _, ws in texts for x in ws] or [0], np.int64)
         self.item_ids = list(dict.fromkeys(i for i, _ in texts))
         number = {i: k for k, i in enumerate(self.item_ids)}
-        start, length, need, item = [], [], [], []
-        at = 0
-        for i, ws in texts:
-            n = len(ws)
-            for k in range(n):
-                start.append(at + k)
-                length.append(n - k)
-                # The words of the window that starts here; 0: none does.
-                need.append(window if n - k >= window else n if k == 0 else 0)
-                item.append(number[i])
-            at += n
-        self.start, self.length, self.need, self.item = (np.array(x, np.int64) for x in (start, length, need, item))
+        sizes = np.array([len(w) for _, w in texts], np.int64)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        self.start = np.arange(int(sizes.sum()))
+        self.length = ends - self.start
+        whole = np.repeat(sizes, sizes)
+        # The words of the window that starts here; 0: none does.
+        self.need = np.where(self.length >= window, window, np.where(self.length == whole, whole, 0))
+        self.item = np.repeat(np.array([number[i] for i, _ in texts], np.int64), sizes)
+        self.place = whole - self.length
         self.pairs = np.zeros(_MASK + 1, bool)
         inside = self.length > 1
         self.pairs[_pair(self.tokens[self.start[inside]], self.tokens[self.start[inside] + 1])] = True
@@ -108,11 +105,13 @@ def suffix_array(shard: np.ndarray, tests: TestSuffixes) -> np.ndarray:
 
 
 def search(shard: np.ndarray, array: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every test suffix: words of its longest match, one place of it, and the range of
-    the suffix array that holds the occurrences of its window (empty: none)."""
+    """Binary search of every test suffix, word by word. For each suffix of the array the
+    words of its longest match with any test suffix and the first test suffix that matches
+    so far (-1: none); for every test suffix the range of the array that holds the
+    occurrences of its window (empty: none)."""
     m, end = len(tests.start), len(shard) - 1
     low, high = np.zeros(m, np.int64), np.full(m, len(array), np.int64)
-    longest, place = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    longest, by = np.zeros(len(array), np.int64), np.full(len(array), -1)
     first, last = np.zeros(m, np.int64), np.zeros(m, np.int64)
     alive = np.arange(m)
     depth = 0
@@ -138,14 +137,19 @@ def search(shard: np.ndarray, array: np.ndarray, tests: TestSuffixes) -> tuple[n
         alive, lo, hi = alive[found], lo[found], hi[found]
         low[alive], high[alive] = lo, hi
         depth += 1
-        longest[alive], place[alive] = depth, array[lo]
+        # Ranges of equal words are equal, others of this depth apart: the first of each names all.
+        own, which = np.unique(lo, return_index=True)
+        size = hi[which] - own
+        inside = np.repeat(own - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        longest[inside], by[inside] = depth, np.repeat(alive[which], size)
         whole = tests.need[alive] == depth
         first[alive[whole]], last[alive[whole]] = lo[whole], hi[whole]
-    return longest, place, first, last
+    return longest, by, first, last
 
 
-def _shard_rows(texts: list[list[bytes]], tests: TestSuffixes) -> tuple[list[list[dict]], list[list[str]], list[int]]:
-    """Merged hit spans, items with occurring windows and longest match of each document."""
+def _shard_rows(texts: list[list[bytes]], tests: TestSuffixes, least: int) -> tuple[list[list[dict]], list[list[str]], list[int], list[list[dict]]]:
+    """Merged hit spans, items with occurring windows, longest match and places of matches
+    of ``least`` words and more of each document."""
     get = tests.vocabulary.get
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(sizes) - sizes
@@ -153,10 +157,19 @@ def _shard_rows(texts: list[list[bytes]], tests: TestSuffixes) -> tuple[list[lis
     for s, t in zip(starts, texts, strict=True):
         shard[s : s + len(t)] = np.fromiter((get(w, 0) for w in t), np.int64, len(t))
     array = suffix_array(shard, tests)
-    longest, place, first, last = search(shard, array, tests)
+    longest, by, first, last = search(shard, array, tests)
     best = np.zeros(len(texts), np.int64)
-    seen = longest > 0
-    np.maximum.at(best, np.searchsorted(starts, place[seen], "right") - 1, longest[seen])
+    owner = np.searchsorted(starts, array, "right") - 1
+    np.maximum.at(best, owner, longest)
+    order = np.argsort(array)
+    order = order[longest[order] > 0]
+    # A match that the place before has too, one word longer, isn't one of its own.
+    inner = np.r_[False, (np.diff(array[order]) == 1) & (longest[order][1:] + 1 == longest[order][:-1])][: len(order)]
+    matches: list[list[dict]] = [[] for _ in texts]
+    for k in order[~inner & (longest[order] >= least)].tolist():
+        d, n, t = int(owner[k]), int(longest[k]), int(by[k])
+        at = int(array[k] - starts[d])
+        matches[d].append({"start": at, "end": at + n, "item_id": tests.item_ids[tests.item[t]], "item_start": int(tests.place[t])})
     count = last - first
     which = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -174,11 +187,12 @@ def _shard_rows(texts: list[list[bytes]], tests: TestSuffixes) -> tuple[list[lis
     for pair in np.unique(doc * len(tests.item_ids) + tests.item[which]):
         d, i = divmod(int(pair), len(tests.item_ids))
         items[d].append(tests.item_ids[i])
-    return spans, items, best.tolist()
+    return spans, items, best.tolist(), matches
 
 
-_RESULT = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, longest_match int"
-_ARROW = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.int32()]
+_RESULT = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, longest_match int, matches array<struct<start:int,end:int,item_id:string,item_start:int>>"
+_PLACES = [("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]
+_ARROW = [pa.int64(), pa.list_(pa.struct(_PLACES[:2])), pa.list_(pa.string()), pa.int32(), pa.list_(pa.struct(_PLACES))]
 
 
 def annotate(
@@ -189,12 +203,15 @@ def annotate(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     shard_words: int = SHARD_WORDS,
+    least_match: int = WINDOW,
 ) -> DataFrame:
     """One row per row of ``docs``: ``row`` (a struct of the ``carry`` columns), n_words,
     hit_spans (merged [start, end) word ranges inside occurrences of a window), item_ids
-    (items with an occurring window, as strings) and longest_match (words of the longest
-    verbatim match of any test suffix whose place this document is; matches of one word
-    count only for items of one word).
+    (items with an occurring window, as strings), longest_match (words of the longest
+    verbatim match of any test suffix in this document; matches of one word count only for
+    items of one word) and matches: the places [start, end) of all matches of ``least_match``
+    words and more that don't go on to the left, with a place of the benchmark that has the
+    same words (of several one). None of it depends on how documents are dealt into shards.
 
     ``benchmark`` has item_id and text. Null texts have no words; a null item_id is the
     empty string; equal item ids are one item. Empty tables, repeated rows and other
@@ -207,11 +224,16 @@ def annotate(
     for k in range(blocks):
         part = source if blocks == 1 else source.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         items = [(r.i, (r.t or "").encode()) for r in part.collect()]
-        out = _one_pass(out, kind, TestSuffixes(items, window), shard_words, k, last=k == blocks - 1)
+        before, last = out, k == blocks - 1
+        out = _one_pass(out, kind, TestSuffixes(items, window), shard_words, least_match, k, last)
+        if not last:
+            # Written, so that a task holds one block at a time.
+            out = materialize(out, "decontamination")
+            discard(before)
     return out
 
 
-def _one_pass(rows: DataFrame, kind: str, tests: TestSuffixes, shard_words: int, k: int, last: bool) -> DataFrame:
+def _one_pass(rows: DataFrame, kind: str, tests: TestSuffixes, shard_words: int, least: int, k: int, last: bool) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,20 +254,21 @@ def _one_pass(rows: DataFrame, kind: str, tests: TestSuffixes, shard_words: int,
             yield from finish(kept, texts)
 
     def finish(kept: list[pa.RecordBatch], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        spans, items, best = _shard_rows(texts, sent.value)
+        spans, items, best, matches = _shard_rows(texts, sent.value, least)
         at = 0
         for b in kept:
             n = b.num_rows
-            new = [[len(t) for t in texts[at : at + n]], spans[at : at + n], items[at : at + n], best[at : at + n]]
+            new = [[len(t) for t in texts[at : at + n]], spans[at : at + n], items[at : at + n], best[at : at + n], matches[at : at + n]]
             if k:
-                old = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("hit_spans", "item_ids", "longest_match")]
+                old = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("hit_spans", "item_ids", "longest_match", "matches")]
                 new[1] = [merge_spans(x + y) for x, y in zip(old[0], new[1], strict=True)]
                 new[2] = [list(dict.fromkeys(x + y)) for x, y in zip(old[1], new[2], strict=True)]
                 new[3] = [max(x, y) for x, y in zip(old[2], new[3], strict=True)]
+                new[4] = [longest_at(x + y) for x, y in zip(old[3], new[4], strict=True)]
             front = ["row"] if last else ["row", "text"]
             columns = [b.column(b.schema.get_field_index(x)) for x in front]
             columns += [pa.array(x, t) for x, t in zip(new, _ARROW, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*front, "n_words", "hit_spans", "item_ids", "longest_match"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*front, "n_words", "hit_spans", "item_ids", "longest_match", "matches"])
             at += n
 
     return rows.mapInArrow(run, f"row {kind}, {'' if last else 'text string, '}{_RESULT}")
@@ -261,6 +284,15 @@ def merge_spans(spans: list[dict]) -> list[dict]:
     return out
 
 
+def longest_at(matches: list[dict]) -> list[dict]:
+    """Matches of several blocks without those that lie in another one."""
+    out: list[dict] = []
+    for x in sorted(matches, key=lambda x: (x["start"], -x["end"])):
+        if not out or x["end"] > out[-1]["end"]:
+            out.append(x)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, all columns unchanged."""
     found = annotate(docs, benchmark, docs.columns, text_col, window)

@@ -49,3 +49,31 @@ def test_blocks_shards_and_edge_rows(spark):
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 3]
     assert D.annotate(docs, bench.limit(0), ["doc_id"]).filter("size(hit_spans) > 0").count() == 0
     assert D.annotate(docs.limit(0), bench, ["doc_id"]).count() == 0
+
+
+def longest(text, items):
+    """The longest run of words that a document shares with an item."""
+    w, most = D.words((text or "").encode()), 0
+    for _, t in items:
+        b = D.words((t or "").encode())
+        for i in range(len(w)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                    n += 1
+                most = max(most, n if n > 1 or len(b) == 1 else 0)
+    return most
+
+
+def test_longest_matches_and_their_places_depend_on_no_shard(spark):
+    twelve = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"a {twelve}"), (2, f"b c {twelve} d"), (3, "three four five six seven eight nine ten eleven twelve"), (4, "ten eleven"), (5, twelve + " " + twelve)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, twelve), (2, "seven eight nine ten zap")], "item_id long, text string")
+    items = [(1, twelve), (2, "seven eight nine ten zap")]
+    for kw in ({}, {"shard_words": 3}, {"block_bytes": 30}, {"least_match": 2}):
+        got = {r.row.doc_id: r for r in D.annotate(docs, bench, ["doc_id"], **kw).collect()}
+        assert {d: r.longest_match for d, r in got.items()} == {d: longest(t, items) for d, t in rows}
+        places = {d: [(m.start, m.end) for m in r.matches if m.end - m.start >= 10] for d, r in got.items()}
+        assert places == {1: [(1, 13)], 2: [(2, 14)], 3: [(0, 10)], 4: [], 5: [(0, 12), (12, 24)]}
+        assert got[3].matches[0].item_id == "1" and got[3].matches[0].item_start == 2
