@@ -14,6 +14,7 @@ table of rank intervals, whose size doesn't depend on the number of pieces.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,13 +34,14 @@ ITERATIONS = 60
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
+@lru_cache(maxsize=4)
+def _encoder(path: str, specials: bool = False):
     """text -> ids as an array, for a tokenizer file. A .tiktoken file has the ranks of the
     same vocabulary as its .json file and gives the same ids about five times as fast
-    (tests hold one against the other); strings of special tokens are ordinary text. A text
-    whose split overruns the stack of tiktoken's regex (a run of about a million white-space
-    characters) is encoded from the .json file."""
+    (tests hold one against the other). Strings of special tokens are ordinary text, or with
+    ``specials`` the tokens that the .json file has for them. Texts with such strings, then,
+    and texts whose split overruns the stack of tiktoken's regex (a run of about a million
+    white-space characters) are encoded from the .json file."""
     if path.endswith(".tiktoken"):
         import tiktoken
         from public_tokenizers import PATTERN
@@ -47,22 +49,31 @@ def _encoder(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        other = path.removesuffix(".tiktoken") + ".json"
+        strings = _special_strings(other) if specials else ()
 
         def encode(text: str) -> np.ndarray:
+            if any(s in text for s in strings):
+                return _encoder(other, specials)(text)
             try:
                 return e.encode_to_numpy(text, disallowed_special=())
             except ValueError:
-                return _encoder(path.removesuffix(".tiktoken") + ".json")(text)
+                return _encoder(other, specials)(text)
 
         return encode
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+def _special_strings(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens") or [])
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n tokens: full pieces behind a first
     one that may be shorter."""
@@ -71,13 +82,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, id_col: str = "doc_id", text_col: str = "text", specials: bool = False
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids): the pieces of each whole text's token ids and
     a closing ``eos``; ids are little-endian unsigned 32-bit integers. ``tokenizer`` is a
-    file that every executor has. A null or empty text has the one token ``eos``."""
+    file that every executor has. A null or empty text has the one token ``eos``. With
+    ``specials`` strings of special tokens in a text are those tokens, else ordinary text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, specials)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for k in range(b.num_rows):
@@ -272,10 +285,12 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, length_co
     return ranked.mapInArrow(place, f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, specials: bool = False) -> DataFrame:
     """Digest rows of the packed ``docs``: per piece its document, place and the CRC-32 of
-    its ids."""
-    pieces = token_pieces(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    its ids. A null or empty text is one piece of one token; rows with a null or repeated id
+    are documents of their own; an empty table gives an empty result; other columns are
+    ignored."""
+    pieces = token_pieces(docs, tokenizer, specials=specials).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(pieces, "pieces"), ["doc_id", "piece"])
 
 
@@ -286,4 +301,4 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), specials=True)

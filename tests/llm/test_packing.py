@@ -47,6 +47,17 @@ def test_edge_rows_and_salted_ranks(spark, monkeypatch):
         P.pack(spark.createDataFrame([(1, 3000)], "a int, length int"), ["a"])
 
 
+def test_the_query_takes_special_strings_as_tokenizers_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = [(1, "a <|endoftext|> b"), (2, "plain <|endof"), (3, "<|endoftext|>" * 3000), (4, " " * 1_100_000 + "<|endoftext|>")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = {d: [*t.encode(x, add_special_tokens=False).ids, 0] for d, x in docs}
+    want = sorted((d, k, n, zlib.crc32(np.array(i[s : s + n], "<u4").tobytes())) for d, i in ids.items() for k, (s, n) in enumerate(P.cut(len(i), 2048)))
+    assert 50256 in ids[1] and sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in P.op9_packing(spark, str(tmp_path)).collect()) == want
+
+
 def test_very_long_white_space_is_encoded(spark):
     docs = [(1, "a" + " " * 1_100_000 + "b"), (2, "x\n" + "\n" * 1_100_000), (3, "a <|endoftext|> b" + "\t" * 1_100_000 + "c"), (4, "plain")]
     whole(docs, P.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.tokenizer_path()).collect())
