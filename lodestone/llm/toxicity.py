@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text's words are read in overlapping windows of WINDOW words, STRIDE apart, to its end.
-Each word enters as a hashed word embedding beside a character layer over its first bytes
-by position; a GRU runs over the window in each direction, attention pools its states and
+Each word enters as a hashed word embedding beside a character layer over all its bytes:
+the first ones by position, and the hashed runs of three bytes of the whole word; a GRU runs over the window in each direction, attention pools its states and
 a logistic unit scores the window. A document's score is that of its highest window,
 calibrated. Training is numpy on the driver, on a bounded sample of labelled documents:
 only document labels are known, so toxic documents teach by their highest window (at first
@@ -27,7 +27,7 @@ from .decontamination import words
 
 WINDOW, STRIDE = 32, 16
 BUCKETS, WORD_DIM = 1 << 14, 8
-BYTES, CHAR_DIM = 12, 8
+BYTES, RUNS, CHAR_DIM = 12, 1 << 13, 8
 HIDDEN = 8
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 EPOCHS = 14
@@ -38,11 +38,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def encode(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word buckets (from 1; 0 is no word) and the first BYTES bytes (0: past the end)."""
+@dataclass
+class Spelling:
+    """The bytes of words as rows of the character table: ``head`` the first BYTES of each
+    (byte 0: past the end), and ``tail`` the runs of three bytes, ``many`` of each word,
+    which together weigh no more than BYTES bytes do."""
+
+    head: np.ndarray
+    tail: np.ndarray
+    many: np.ndarray
+
+    def __getitem__(self, rows: np.ndarray) -> Spelling:
+        many = self.many[rows]
+        first = (np.cumsum(self.many) - self.many)[rows]
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return Spelling(self.head[rows], self.tail[at], many)
+
+    def owner_weight(self) -> tuple[np.ndarray, np.ndarray]:
+        weight = np.minimum(1, BYTES / np.maximum(1, self.many))
+        return np.repeat(np.arange(len(self.many)), self.many), np.repeat(weight, self.many).astype(np.float32)
+
+
+def encode(vocabulary: list[bytes]) -> tuple[np.ndarray, Spelling]:
+    """Word buckets (from 1; 0 is no word) and the spelling of each whole word."""
     bucket = np.array([1 + xxhash.xxh32_intdigest(w) % (BUCKETS - 1) for w in vocabulary] or [0], np.int64)[: len(vocabulary)]
     raw = b"".join(w[:BYTES].ljust(BYTES, b"\0") for w in vocabulary)
-    return bucket, np.frombuffer(raw, np.uint8).reshape(-1, BYTES).astype(np.int64)
+    head = np.frombuffer(raw, np.uint8).reshape(-1, BYTES).astype(np.int64) + 256 * np.arange(BYTES)
+    # Runs of three over all words with their edges marked; none goes over an edge.
+    flat = np.frombuffer(b"\0" + b"\0".join(vocabulary) + b"\0", np.uint8).astype(np.int64)
+    runs = BYTES * 256 + (flat[:-2] * 40503 + flat[1:-1] * 2654435761 + flat[2:] * 97 >> 3) % RUNS
+    many = np.array([len(w) for w in vocabulary], np.int64)
+    first = np.cumsum(many + 1) - many - 1
+    at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return bucket, Spelling(head, runs[at], many)
 
 
 def starts(n: int) -> range:
@@ -56,20 +84,22 @@ class Network:
         n = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.p = {
             "word": 0.1 * r.normal(size=(BUCKETS, WORD_DIM)).astype(np.float32),
-            "char": 0.3 * r.normal(size=(BYTES * 256, CHAR_DIM)).astype(np.float32),
+            "char": 0.3 * r.normal(size=(BYTES * 256 + RUNS, CHAR_DIM)).astype(np.float32),
             "att": n(2 * HIDDEN, HIDDEN), "att_v": n(HIDDEN), "out": n(2 * HIDDEN), "bias": np.zeros(1, np.float32),
         }
         for d in "fb":
             self.p |= {f"w{d}": n(WORD_DIM + CHAR_DIM, 3 * HIDDEN), f"u{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.calibration = (1.0, 0.0)
 
-    def inputs(self, bucket: np.ndarray, chars: np.ndarray, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        place = chars + 256 * np.arange(BYTES)
-        char = np.tanh(self.p["char"][place].sum(axis=1))
+    def inputs(self, bucket: np.ndarray, chars: Spelling, drop: np.ndarray | None = None) -> np.ndarray:
+        total = self.p["char"][chars.head].sum(axis=1)
+        if len(chars.tail):
+            owner, weight = chars.owner_weight()
+            np.add.at(total, owner, self.p["char"][chars.tail] * weight[:, None])
         word = self.p["word"][bucket]
         if drop is not None:
             word = word * drop[:, None]
-        return np.concatenate([word, char], axis=1), place
+        return np.concatenate([word, np.tanh(total)], axis=1)
 
     def _gru(self, d: str, projected: np.ndarray, mask: np.ndarray, keep: bool):
         """States (T, B, H) of one direction, in the order of time."""
@@ -100,9 +130,9 @@ class Network:
         pooled = (e[:, :, None] * h).sum(axis=0)
         return pooled @ self.p["out"] + self.p["bias"], (h, a, e, pooled, sf, sb)
 
-    def train_step(self, bucket: np.ndarray, chars: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, drop: np.ndarray) -> dict:
+    def train_step(self, bucket: np.ndarray, chars: Spelling, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, drop: np.ndarray) -> dict:
         """Gradients of the weighted logistic loss. index: (T, B) into the encoded words."""
-        x, place = self.inputs(bucket, chars, drop)
+        x = self.inputs(bucket, chars, drop)
         projected = {d: (x @ self.p[f"w{d}"] + self.p[f"c{d}"])[index] for d in "fb"}
         logit, (h, a, e, pooled, sf, sb) = self.forward(projected, mask, True)
         g: dict[str, np.ndarray] = {}
@@ -141,7 +171,9 @@ class Network:
         np.add.at(gw, bucket, dx[:, :WORD_DIM] * drop[:, None])
         gc = np.zeros_like(self.p["char"])
         dc = dx[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2)
-        np.add.at(gc, place.ravel(), np.repeat(dc, BYTES, axis=0))
+        np.add.at(gc, chars.head.ravel(), np.repeat(dc, BYTES, axis=0))
+        owner, weight = chars.owner_weight()
+        np.add.at(gc, chars.tail, dc[owner] * weight[:, None])
         return g | {"word": gw, "char": gc}
 
     def scorer(self) -> Scorer:
@@ -170,7 +202,7 @@ class Scorer:
         fresh = list(self.seen)[have:] if have < len(self.seen) else []
         if not fresh:
             return
-        x, _ = self.net.inputs(*encode(fresh))
+        x = self.net.inputs(*encode(fresh))
         for d in "fb":
             new = (x @ self.net.p[f"w{d}"] + self.net.p[f"c{d}"]).astype(np.float32)
             self.rows[d] = np.concatenate([self.rows[d], new]) if have else new
@@ -288,9 +320,15 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Network:
-    """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, chosen by a hash of
-    their id, that aren't held out and whose text has at most ``max_chars`` characters."""
+def fit(
+    docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text"
+) -> Network:
+    """Train on at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by a hash
+    of their id, that aren't held out and whose text has at most ``max_chars`` characters.
+    ``labels`` has doc_id and toxic; an id that repeats there is toxic if any row says so,
+    and of the texts that repeat an id the smallest teaches. Null ids, labels and texts
+    don't teach."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out("doc_id")).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
@@ -305,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     # At most max_toxic + max_clean ids, whatever the input.
-    rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * (max_toxic + max_clean)).collect()
+    rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (-r.toxic, r.doc_id, r.text))
     return train([words(r.text.encode()) for r in rows], np.array([r.toxic for r in rows], float))
 

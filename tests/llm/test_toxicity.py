@@ -14,7 +14,7 @@ def test_gradients_are_right():
     y, weight, drop = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1, 1]), np.ones(5)
 
     def loss():
-        x, _ = net.inputs(bucket, chars, drop)
+        x = net.inputs(bucket, chars, drop)
         logit, _ = net.forward({d: (x @ net.p[f"w{d}"] + net.p[f"c{d}"])[index] for d in "fb"}, mask)
         return float((weight * (np.logaddexp(0, logit) - y * logit)).sum() / weight.sum())
 
@@ -36,6 +36,47 @@ def test_windows_reach_every_word():
         assert seen == set(range(n))
 
 
+def test_every_byte_of_a_word_counts():
+    net = T.Network(2)
+    spell = lambda w: net.inputs(*T.encode([w]))[0, T.WORD_DIM :]
+    base = b"abcdefghijkl" + b"mnopqrstuvwxyz" * 3
+    for k in range(len(base)):
+        assert np.abs(spell(base) - spell(base[:k] + b"#" + base[k + 1 :])).max() > 1e-6, k
+    _, both = T.encode([base, b"short", base + b"x"])
+    assert (both[np.array([2, 0])].tail == np.r_[T.encode([base + b"x"])[1].tail, T.encode([base])[1].tail]).all()
+
+
+def test_scorer_equals_a_plain_forward_of_each_window():
+    rng = np.random.default_rng(4)
+    net = T.Network(3)
+    vocabulary = [bytes(rng.integers(97, 123, int(rng.integers(1, 30)), dtype=np.uint8)) for _ in range(300)]
+    texts = [[vocabulary[k] for k in rng.integers(0, 300, n)] for n in (0, 1, 5, 31, 32, 33, 48, 49, 200, 1000)]
+    scorer = T.Scorer(net, most=100)
+
+    def plain(words):
+        best = -np.inf
+        for a in T.starts(len(words)):
+            w = words[a : a + T.WINDOW] or [b""]
+            x = net.inputs(*T.encode(w))
+            mask = np.full((len(w), 1), bool(words))
+            logit, _ = net.forward({d: (x @ net.p[f"w{d}"] + net.p[f"c{d}"])[:, None] for d in "fb"}, mask)
+            best = max(best, float(logit[0]))
+        return best
+
+    want = [plain(t) for t in texts]
+    for group in ([texts], [texts[:4], texts[4:]], [[t] for t in texts]):
+        got = np.concatenate([scorer.top(g, batch=7) for g in group])
+        assert np.allclose(got[1:], want[1:], atol=1e-4)
+
+
+def test_repeated_ids_in_labels_and_documents(spark):
+    docs = spark.createDataFrame([(k % 40, ("bad words here " if k % 2 else "good words there ") * (1 + k % 3), k) for k in range(80)], "key long, body string, doc_id int")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(120)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    one = T.fit(docs, labels, id_col="key", text_col="body")
+    two = T.fit(docs.union(docs), labels.union(labels), id_col="key", text_col="body")
+    assert all((one.p[k] == two.p[k]).all() for k in one.p) and one.calibration == two.calibration
+
+
 def test_held_out_accuracy_and_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
