@@ -243,15 +243,19 @@ class BayesianRidge:
 @dataclass
 class LogisticRegression:
     """Binary logistic regression, penalty alpha / 2n |w|^2, by Newton steps: one aggregate
-    gives gradient and Hessian."""
+    gives gradient and Hessian. No step changes a coefficient by more than ``longest``;
+    ``converged`` tells whether the steps came to an end, which they don't where the classes
+    can be separated and alpha is 0. Without rows all coefficients are 0."""
 
     columns: list[str]
     target: str
     alpha: float = 0.0
     iterations: int = 25
     tol: float = 1e-10
+    longest: float = 8.0
     coef: np.ndarray | None = field(default=None, init=False)
     intercept: float = field(default=0.0, init=False)
+    converged: bool = field(default=False, init=False)
 
     def fit(self, df: DataFrame) -> LogisticRegression:
         d = len(self.columns) + 1
@@ -264,11 +268,14 @@ class LogisticRegression:
             terms = [F.sum((p - F.col("y")) * x[i]).alias(f"g{i}") for i in range(d)]
             terms += [F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
             row = work.agg(*terms).first()
+            if row["g0"] is None:
+                break
             g = np.array([row[f"g{i}"] for i in range(d)]) + ridge_ * theta
             h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + np.diag(ridge_ + 1e-12)
             step = np.linalg.solve(h, g)
-            theta = theta - step
-            if np.abs(step).max() <= self.tol * max(1.0, np.abs(theta).max()):
+            theta = theta - step * min(1.0, self.longest / max(np.abs(step).max(), 1e-300))
+            self.converged = bool(np.abs(step).max() <= self.tol * max(1.0, np.abs(theta).max()))
+            if self.converged:
                 break
         self.intercept, self.coef = float(theta[0]), theta[1:]
         return self

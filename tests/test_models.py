@@ -254,3 +254,31 @@ def test_stream_of_batches(spark, tmp_path):
     query = W.windowed_counts(stream, "ts", [], "1 minute").writeStream.outputMode("complete").format("memory").queryName("per_minute").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM per_minute").first()[0] == 1000
+
+
+def test_logistic_regression_says_whether_it_converged(spark):
+    rows = spark.createDataFrame([(float(k), float(k > 4)) for k in range(10)], "x double, y double")
+    assert not L.LogisticRegression(["x"], "y").fit(rows).converged
+    mixed = spark.createDataFrame([(float(k), float(k % 3 > 0)) for k in range(30)], "x double, y double")
+    assert L.LogisticRegression(["x"], "y").fit(mixed).converged
+    none = L.LogisticRegression(["x"], "y").fit(rows.limit(0))
+    assert none.intercept == 0 and list(none.coef) == [0] and not none.converged
+
+
+def test_neighbors_of_many_batches_equal_brute_force(spark):
+    import numpy as np
+    from lodestone.operators import neighbors
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 40, (3000, 2)).astype(float)
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id long, a double, b double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = neighbors.kneighbors(df, df.filter("id < 50"), "id", ["a", "b"], 7, block=16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
+    want = {(q, int(n), r + 1) for q in range(50) for r, n in enumerate(np.lexsort((np.arange(3000), d[q]))[:7])}
+    assert {(r.query_id, r.neighbor_id, r.rank) for r in got} == want
+    assert neighbors.kneighbors(df, df.limit(0), "id", ["a", "b"], 7).count() == 0
