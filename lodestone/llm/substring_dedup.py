@@ -28,7 +28,8 @@ not yet reached members and emits a spanning forest, never all pairs; a list of
 ``list_cap`` members is dealt into pairs of blocks. Neighbours of anchors are compared in
 tries: a group of up to ``list_cap`` places in one task, a larger one after it was split
 by what agrees with its earliest place and how far, as often as needed. All that groups is
-pre-aggregated. Texts are moved once: for the neighbours of repeated anchors and the
+pre-aggregated. The large joins are sort-merge joins at every size, so that what a small
+input costs says what a large one does. Texts are moved once: for the neighbours of repeated anchors and the
 shingles of paragraphs that collide.
 """
 
@@ -535,18 +536,18 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     anchors = units.filter("bands is null").select("doc_id", "t", F.col("h1").alias("h"), F.col("start").alias("n"))
     repeated = materialize(anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
-    wanted = anchors.drop("n").join(repeated, "h").select("doc_id", "t", F.struct("h", (F.col("n") > list_cap).alias("hot")).alias("a"))
+    wanted = anchors.drop("n").join(repeated.hint("merge"), "h").select("doc_id", "t", F.struct("h", (F.col("n") > list_cap).alias("hot")).alias("a"))
 
     first = F.min(F.struct("doc_id", "t", "start", "end")).alias("first")
     classes = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.min("bands").alias("bands"))
     classes = materialize(classes, "paragraph-classes")
     met = band_lists(classes)
-    held = classes.join(met.select("h1", "h2").distinct(), ["h1", "h2"]).select("first.doc_id", "first.t", F.struct("first.start", "first.end", "h1", "h2").alias("l"))
+    held = classes.join(met.select("h1", "h2").distinct().hint("merge"), ["h1", "h2"]).select("first.doc_id", "first.t", F.struct("first.start", "first.end", "h1", "h2").alias("l"))
 
     null = lambda other, c: F.lit(None).cast(other.schema[c].dataType).alias(c)
     both = wanted.select("doc_id", "t", "a", null(held, "l")).union(held.select("doc_id", "t", null(wanted, "a"), "l"))
     asked = both.groupBy("doc_id", "t").agg(F.collect_list("a").alias("anchors"), F.collect_list("l").alias("lines"))
-    details = rows.join(asked, ["doc_id", "t"]).select("doc_id", "t", "text", "anchors", "lines").mapInArrow(_details, _DETAILS)
+    details = rows.join(asked.hint("merge"), ["doc_id", "t"]).select("doc_id", "t", "text", "anchors", "lines").mapInArrow(_details, _DETAILS)
     details = materialize(details, "paragraph-details")
     discard(repeated)
 
@@ -569,7 +570,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written for the joins, that they may split a hot component's or line's rows.
     firsts = materialize(joined.groupBy("component").agg(F.min("first").alias("first")), "paragraph-firsts")
     named = materialize(joined.select("h1", "h2", "component").join(firsts, "component").select("h1", "h2", "first"), "paragraph-named")
-    spans = lines.select("doc_id", "t", "start", "end", "h1", "h2").join(named, ["h1", "h2"])
+    spans = lines.select("doc_id", "t", "start", "end", "h1", "h2").join(named.hint("merge"), ["h1", "h2"])
     is_first = F.struct("doc_id", "t", "start") == F.struct("first.doc_id", "first.t", "first.start")
     spans = spans.select("doc_id", "t", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), (~is_first).alias("removed"), F.lit(True).alias("line"))
     out = materialize(spans.distinct().union(windows), "duplicate-spans")
@@ -669,7 +670,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = found.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), F.col("removed_spans").alias("__spans"))
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"))
-    ready = rows.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__t")), "left").select("row", "text", "__spans")
+    ready = rows.join(spans.hint("merge"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__t")), "left").select("row", "text", "__spans")
     kind = ready.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
