@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,9 @@ def discard(*tables: DataFrame) -> None:
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null gives empty bytes."""
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+def text_rows(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """utf8_rows() one by one, for columns whose texts needn't all be copied at once."""
+    for k in range(0, len(column), rows):
+        yield from utf8_rows(column.slice(k, rows))

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, utf8_rows
+from ._common import discard, materialize, text_rows
 from .components import connected_components
 
 MIN_WORDS = 24
@@ -203,10 +203,10 @@ def _winnowed(hashes: np.ndarray, full: np.ndarray) -> np.ndarray:
     return np.flatnonzero((reach == hashes) & (reach > 0))
 
 
-def _slices(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``size`` bytes, with the row of their first one."""
     begin, run, seen = 0, [], 0
-    for k, text in enumerate(utf8_rows(column)):
+    for k, text in enumerate(text_rows(column)):
         run.append(text)
         seen += len(text)
         if seen >= size:
