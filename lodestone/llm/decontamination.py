@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, utf8_rows
+from ._common import discard, materialize, text_rows
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _MASK = (1 << 22) - 1
 
@@ -147,15 +147,15 @@ def search(shard: np.ndarray, array: np.ndarray, tests: TestSuffixes) -> tuple[n
     return longest, by, first, last
 
 
-def _shard_rows(texts: list[list[bytes]], tests: TestSuffixes, least: int) -> tuple[list[list[dict]], list[list[str]], list[int], list[list[dict]]]:
+def _shard_rows(texts: list[np.ndarray], tests: TestSuffixes, least: int) -> tuple[list[list[dict]], list[list[str]], list[int], list[list[dict]]]:
     """Merged hit spans, items with occurring windows, longest match and places of matches
-    of ``least`` words and more of each document."""
-    get = tests.vocabulary.get
+    of ``least`` words and more of each document. ``texts``: word numbers, 0 for words that
+    the benchmark doesn't have."""
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(sizes) - sizes
     shard = np.zeros(int(sizes.sum()) + 2, np.int64)
     for s, t in zip(starts, texts, strict=True):
-        shard[s : s + len(t)] = np.fromiter((get(w, 0) for w in t), np.int64, len(t))
+        shard[s : s + len(t)] = t
     array = suffix_array(shard, tests)
     longest, by, first, last = search(shard, array, tests)
     best = np.zeros(len(texts), np.int64)
@@ -238,12 +238,14 @@ def _one_pass(rows: DataFrame, kind: str, tests: TestSuffixes, shard_words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
+        get = sent.value.vocabulary.get
         seen = 0
         for b in batches:
             done = 0
-            for i, t in enumerate(utf8_rows(b.column(1))):
-                texts.append(words(t))
+            for i, t in enumerate(text_rows(b.column(1))):
+                found = words(t)
+                texts.append(np.fromiter((get(w, 0) for w in found), np.int32, len(found)))
                 seen += len(texts[-1]) + 1
                 if seen >= shard_words:
                     yield from finish([*kept, b.slice(done, i + 1 - done)], texts)
@@ -253,7 +255,7 @@ def _one_pass(rows: DataFrame, kind: str, tests: TestSuffixes, shard_words: int,
         if texts:
             yield from finish(kept, texts)
 
-    def finish(kept: list[pa.RecordBatch], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def finish(kept: list[pa.RecordBatch], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         spans, items, best, matches = _shard_rows(texts, sent.value, least)
         at = 0
         for b in kept:
