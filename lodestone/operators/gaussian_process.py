@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import RegressionScore
 from .optimizers import lbfgs
 
 FIXED = None
@@ -218,7 +219,7 @@ class Power(Kernel):
 
 
 @dataclass
-class GaussianProcess:
+class GaussianProcess(RegressionScore):
     """Regression; ``noise`` is added to the diagonal, one number or one for each fitted row in
     the order of ``order_col``. predict gives mean and standard deviation, those of the prior
     where nothing was fitted, null where a feature is missing."""

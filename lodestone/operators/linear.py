@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
+from .metrics import ClassScore, RegressionScore
 from .optimizers import minimize
 
 
@@ -49,7 +50,7 @@ def moments(df: DataFrame, columns: list[str], target: str, fit_intercept: bool
 
 
 @dataclass
-class LinearRegression:
+class LinearRegression(RegressionScore):
     """Least squares; ``alpha`` and ``l1_ratio`` add the elastic-net penalty
     (alpha * (l1_ratio * |w| + (1 - l1_ratio) * w'w)) / 2n, or with ``per_row``
     alpha * (l1_ratio * |w| + (1 - l1_ratio) * w'w / 2)."""
@@ -126,7 +127,7 @@ def lasso_path(df: DataFrame, columns: list[str], target: str, alphas: list[floa
 
 
 @dataclass
-class MultiTaskElasticNet:
+class MultiTaskElasticNet(RegressionScore):
     """Several targets that share which columns count: 1/2n |Y - XW|^2 + alpha * (l1_ratio *
     sum of the norms of W's rows + (1 - l1_ratio) / 2 * |W|^2), by descent over rows of W on the
     Gram matrix of one scan. coef has a row for each target."""
@@ -157,17 +158,44 @@ class MultiTaskElasticNet:
         self.coef, self.intercept = w.T, mean[d:] - mean[:d] @ w
         return self
 
+    @property
+    def target(self) -> list[str]:
+        return self.targets
+
     def predict(self, df: DataFrame, prefix: str = "prediction") -> DataFrame:
         x = [F.col(c).cast("double") for c in self.columns]
         return df.withColumns({f"{prefix}_{k}": dot(x, [float(v) for v in w]) + float(i) for k, (w, i) in enumerate(zip(self.coef, self.intercept))})
 
 
+@dataclass
+class MultiOutputRegression(RegressionScore):
+    """Least squares, with an L2 penalty alpha / 2n, of several targets from one set of cross
+    products. coef has a row for each target. Rows that lack a target are left out for all."""
+
+    columns: list[str]
+    targets: list[str]
+    alpha: float = 0.0
+    fit_intercept: bool = True
+    coef: np.ndarray | None = field(default=None, init=False)
+    intercept: np.ndarray | None = field(default=None, init=False)
+
+    def fit(self, df: DataFrame) -> MultiOutputRegression:
+        d = len(self.columns)
+        _, mean, c = cross_products(df, [*self.columns, *self.targets], self.fit_intercept)
+        w = np.linalg.lstsq(c[:d, :d] + self.alpha * np.eye(d), c[:d, d:], rcond=None)[0]
+        self.coef, self.intercept = w.T, mean[d:] - mean[:d] @ w
+        return self
+
+    target = MultiTaskElasticNet.target
+    predict = MultiTaskElasticNet.predict
+
+
 def multi_task_lasso(columns, targets, alpha=1.0, **kw):
     return MultiTaskElasticNet(columns, targets, alpha, 1.0, **kw)
 
 
 @dataclass
-class GradientRegression:
+class GradientRegression(RegressionScore):
     """Least squares with the penalty of LinearRegression by any method of optimizers.minimize.
     One scan gives the Gram matrix, from which every step takes its loss and gradient; columns
     are scaled to unit variance while it runs."""
@@ -203,7 +231,7 @@ class GradientRegression:
 
 
 @dataclass
-class BayesianRidge:
+class BayesianRidge(RegressionScore):
     """Evidence maximisation over the eigenvectors of the Gram matrix; predict adds the
     standard deviation of the predictive distribution."""
 
@@ -215,6 +243,8 @@ class BayesianRidge:
 
     def fit(self, df: DataFrame) -> BayesianRidge:
         m = moments(df, self.columns, self.target)
+        if not m.n:
+            raise ValueError("there are no rows to fit")
         values, v = np.linalg.eigh(m.xx)
         values, b = np.maximum(values, 0), v.T @ m.xy
         noise, prior = m.n / max(m.yy, 1e-12), 1.0
@@ -241,7 +271,7 @@ class BayesianRidge:
 
 
 @dataclass
-class LogisticRegression:
+class LogisticRegression(ClassScore):
     """Binary logistic regression, penalty alpha / 2n |w|^2, by Newton steps: one aggregate
     gives gradient and Hessian. No step changes a coefficient by more than ``longest``;
     ``converged`` tells whether the steps came to an end, which they don't where the classes
@@ -286,19 +316,32 @@ class LogisticRegression:
 
 
 @dataclass
-class GaussianNB:
-    """Class means and population variances, smoothed by a share of the largest variance."""
+class GaussianNB(ClassScore):
+    """Class means and population variances, smoothed by a share of the largest variance.
+    ``weight`` names a column of weights; classes without any weight are left out."""
 
     columns: list[str]
     target: str
     smoothing: float = 1e-9
     priors: list[float] | None = None
+    weight: str | None = None
     table: list = field(default_factory=list, init=False)
     seen: dict = field(default_factory=dict, init=False)
 
     def statistics(self, df: DataFrame) -> DataFrame:
-        stats = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in self.columns for n, f in (("mean", F.avg), ("var", F.var_pop))]
-        return df.groupBy(F.col(self.target).alias("label")).agg(F.count("*").alias("n"), *stats)
+        by = df.groupBy(F.col(self.target).alias("label"))
+        if self.weight is None:
+            stats = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in self.columns for n, f in (("mean", F.avg), ("var", F.var_pop))]
+            return by.agg(F.count("*").alias("n"), *stats)
+        # gaps from the overall means keep the digits of the variances
+        centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in self.columns]).first()
+        w, stats = F.col(self.weight).cast("double"), []
+        for c in self.columns:
+            gap, at = F.col(c).cast("double") - F.lit(centre[c]), F.lit(centre[c])
+            total = F.sum(F.when(gap.isNotNull(), w))
+            mean = F.try_divide(F.sum(w * gap), total)
+            stats += [(mean + at).alias(f"mean_{c}"), F.greatest(F.try_divide(F.sum(w * gap * gap), total) - mean * mean, F.lit(0.0)).alias(f"var_{c}")]
+        return by.agg(F.sum(w).alias("n"), *stats).filter("n > 0")
 
     def fit(self, df: DataFrame) -> GaussianNB:
         self.seen = {}
@@ -331,3 +374,10 @@ class GaussianNB:
         j = F.array(*joint)
         labels = F.lit([label for label, _, _ in self.table])
         return df.withColumns({f"{name}_log_joint": j, name: F.element_at(labels, F.array_position(j, F.array_max(j)).cast("int"))})
+
+    def predict_proba(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """``predict`` with the logarithms of the probabilities of the classes, and these."""
+        j = F.col(f"{name}_log_joint")
+        top = F.array_max(j)
+        out = self.predict(df, name).withColumn(f"{name}_log_proba", F.transform(j, lambda v: v - top - F.log(F.aggregate(j, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
+        return out.withColumn(f"{name}_proba", F.transform(f"{name}_log_proba", F.exp))

@@ -14,6 +14,24 @@ def _w(weight: str | None):
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
 
 
+class RegressionScore:
+    """Adds ``score`` to models with ``target`` and ``predict``."""
+
+    def score(self, df: DataFrame, weight: str | None = None) -> float:
+        """r2 of the predictions for ``df``; the mean over the targets where there are several."""
+        targets = [self.target] if isinstance(self.target, str) else list(self.target)
+        names = ["prediction"] if isinstance(self.target, str) else [f"prediction_{k}" for k in range(len(targets))]
+        return float(multioutput_scores(self.predict(df), list(zip(targets, names)), "uniform", weight).first().r2)
+
+
+class ClassScore:
+    """Adds ``score`` to classifiers with ``target`` and ``predict``."""
+
+    def score(self, df: DataFrame, weight: str | None = None) -> float:
+        """The share of the rows of ``df`` whose class is predicted."""
+        return float(accuracy(self.predict(df), self.target, "prediction", weight).first().accuracy)
+
+
 def accuracy(df: DataFrame, true: str, predicted: str, weight: str | None = None, normalize: bool = True) -> DataFrame:
     right = F.sum(F.when(F.col(true) == F.col(predicted), _w(weight)).otherwise(0.0))
     return df.agg((right / F.sum(_w(weight)) if normalize else right).alias("accuracy"))

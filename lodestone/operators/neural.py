@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import ClassScore, RegressionScore
 from .optimizers import lbfgs
 
 ACTIVATIONS = {
@@ -180,7 +181,9 @@ class MLP:
         return ~F.lit(False) if not self.columns else F.forall(F.array(*[F.col(c).cast("double") for c in self.columns]), lambda v: v.isNotNull() & ~F.isnan(v))
 
     def _work(self, df: DataFrame) -> DataFrame:
-        return df.filter(self._present() & F.col(self.target).isNotNull()).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(self.columns)], F.col(self.target).alias("y"))
+        y = F.col(self.target) if isinstance(self.target, str) else F.array(*[F.col(t).cast("double") for t in self.target])
+        known = y.isNotNull() if isinstance(self.target, str) else F.forall(y, lambda v: v.isNotNull())
+        return df.filter(self._present() & known).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(self.columns)], y.alias("y"))
 
     def _begin(self, work: DataFrame) -> None:
         if self.theta is None:
@@ -302,7 +305,7 @@ class MLP:
 
 
 @dataclass
-class MLPClassifier(MLP):
+class MLPClassifier(ClassScore, MLP):
     """Logistic output for two classes, softmax for more."""
 
     def default_output(self, n: int) -> str:
@@ -332,20 +335,26 @@ class MLPClassifier(MLP):
 
 
 @dataclass
-class MLPRegressor(MLP):
-    """Identity output, squared loss."""
+class MLPRegressor(RegressionScore, MLP):
+    """Identity output, squared loss. ``target`` may be a list of columns; predictions are then
+    prediction_0, prediction_1 and so on, and rows that lack a target are left out."""
 
     def default_output(self, n: int) -> str:
         return "identity"
 
     def outputs(self, work):
-        return 1, "identity"
+        return 1 if isinstance(self.target, str) else len(self.target), "identity"
 
     def encode(self, values):
-        return values.to_numpy(float)[:, None]
+        if isinstance(self.target, str):
+            return values.to_numpy(float)[:, None]
+        return np.array(values.tolist(), float).reshape(len(values), len(self.target))
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, self.outputs_column()[0])
+        if isinstance(self.target, str):
+            return df.withColumn(name, self.outputs_column()[0])
+        out = df.withColumn("__outputs", self.outputs_column())
+        return out.withColumns({f"{name}_{k}": F.col("__outputs")[k] for k in range(len(self.target))}).drop("__outputs")
 
 
 def multinomial_logistic(columns: list[str], target: str, alpha: float = 0.0, max_iter: int = 200) -> MLPClassifier:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import RegressionScore, accuracy
+
 
 def gram_matrix(name, a: np.ndarray, b: np.ndarray, gamma: float, coef0: float, degree: float) -> np.ndarray:
     """Kernel values of all pairs of rows; ``name`` may be a function of two matrices."""
@@ -164,9 +166,14 @@ class SVC(_Machine):
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         return self.decision(df, f"{name}_decision").withColumn(name, (F.col(f"{name}_decision") >= 0).cast("double"))
 
+    def score(self, df: DataFrame, weight: str | None = None) -> float:
+        """The share of the rows on their side."""
+        sides = self.predict(df).withColumn("__side", (F.col(self.target).cast("double") > 0).cast("double"))
+        return float(accuracy(sides, "__side", "prediction", weight).first().accuracy)
+
 
 @dataclass
-class SVR(_Machine):
+class SVR(RegressionScore, _Machine):
     """Regression that is indifferent to errors up to ``epsilon``."""
 
     epsilon: float = 0.1

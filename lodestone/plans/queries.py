@@ -419,14 +419,50 @@ def model_pipeline(spark, sf):
     return pipe.fit(df).predict(df).select(*ITEM, F.round("prediction", 3).alias("prediction"))
 
 
-@query()
+def _normal(stream: int, seed: int = 3) -> str:
+    u = "((('0x' || md5('{}:{}:' || i)[:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
+    return f"(sqrt(-2 * ln({u.format(seed, 2 * stream)})) * cos(2 * pi() * {u.format(seed, 2 * stream + 1)}))"
+
+
+@query(f"SELECT i AS row_id, round(5 * (i % 2) + {_normal(0)}, 6) AS f0, round(5 * (i % 2) + {_normal(1)}, 6) AS f1, (i % 2)::INT AS y FROM range(1000) AS t(i)")
 def make_blobs(spark, sf):
-    return D.make_blobs(spark, 1000, [[0.0, 0.0], [5.0, 5.0]], 1.0, 3)
+    return _r(D.make_blobs(spark, 1000, [[0.0, 0.0], [5.0, 5.0]], 1.0, 3), "row_id", "y", f0="f0", f1="f1")
 
 
-@query()
+def _coefficient(k: int, target: int, seed: int = 3) -> str:
+    return f"100 * ((('0x' || md5('{seed}:{-2 - target}:{k}')[:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
+
+
+@query("SELECT i AS row_id, " + ", ".join(f"round({_normal(k)}, 6) AS f{k}" for k in range(4)) + ", " + ", ".join(f"round(1 + {_coefficient(0, t)} * {_normal(0)} + {_coefficient(1, t)} * {_normal(1)} + 0.1::DOUBLE * {_normal(4 + t)}, 6) AS y{t}" for t in range(2)) + " FROM range(1000) AS t(i)")
 def make_regression(spark, sf):
-    return D.make_regression(spark, 1000, 4, 2, 1.0, 0.1, 3)
+    return _r(D.make_regression(spark, 1000, 4, 2, 1.0, 0.1, 3, targets=2, shuffle=False), "row_id", **{c: c for c in ("f0", "f1", "f2", "f3", "y0", "y1")})
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS output, round(regr_slope({y}, l_quantity), 6) AS coef, round(regr_intercept({y}, l_quantity), 4) AS intercept FROM lineitem" for k, y in enumerate(("l_extendedprice", "l_tax"))))
+def multi_output_regression(spark, sf):
+    m = L.MultiOutputRegression(["l_quantity"], ["l_extendedprice", "l_tax"]).fit(_t(spark, sf, "lineitem"))
+    return spark.createDataFrame([(k, round(float(w[0]), 6), round(float(b), 4)) for k, (w, b) in enumerate(zip(m.coef, m.intercept))], "output int, coef double, intercept double")
+
+
+@query("""SELECT l_returnflag AS label, round(sum(l_tax), 6) AS n, round(sum(l_tax * l_quantity) / sum(l_tax), 6) AS mean,
+round(sum(l_tax * l_quantity * l_quantity) / sum(l_tax) - (sum(l_tax * l_quantity) / sum(l_tax)) * (sum(l_tax * l_quantity) / sum(l_tax)), 6) AS var FROM lineitem GROUP BY 1""")
+def gaussian_nb_weighted(spark, sf):
+    stats = L.GaussianNB(["l_quantity"], "l_returnflag", weight="l_tax").statistics(_t(spark, sf, "lineitem"))
+    return _r(stats, "label", n="n", mean="mean_l_quantity", var="var_l_quantity")
+
+
+@query("""SELECT o_orderkey, (CASE WHEN k < r * (q + 1) THEN k // (q + 1) ELSE r + (k - r * (q + 1)) // q END)::INT AS fold
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () // 7 AS q, count(*) OVER () % 7 AS r FROM orders)""")
+def ordered_k_fold(spark, sf):
+    return S.ordered_fold(_t(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(m + s * (l_quantity - t), 3) AS prediction FROM lineitem,
+(SELECT avg(l_extendedprice) AS m, regr_slope(l_extendedprice, l_quantity) AS s, avg(l_quantity) AS t FROM lineitem)""")
+def target_pipeline(spark, sf):
+    pipe = S.make_pipeline(P.StandardScaler(["l_quantity"]), L.LinearRegression(["l_quantity"], "l_extendedprice"), target=P.StandardScaler(["l_extendedprice"]))
+    df = _t(spark, sf, "lineitem")
+    return pipe.fit(df).predict(df).select(*ITEM, F.round("prediction", 3).alias("prediction"))
 
 
 _ONE = "(SELECT count(*) AS n, covar_pop(l_extendedprice, l_quantity) * count(*) AS b, covar_pop(l_discount, l_quantity) * count(*) AS b2, var_pop(l_quantity) * count(*) AS a FROM lineitem)"
