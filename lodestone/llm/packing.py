@@ -29,7 +29,7 @@ from ._common import materialize
 
 CAPACITY = 2048
 EOS = 0
-SALT_ROWS = 50_000
+SALT_ROWS = 1_000
 ITERATIONS = 60
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
