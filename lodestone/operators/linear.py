@@ -233,7 +233,8 @@ class GradientRegression(RegressionScore):
 @dataclass
 class BayesianRidge(RegressionScore):
     """Evidence maximisation over the eigenvectors of the Gram matrix; predict adds the
-    standard deviation of the predictive distribution."""
+    standard deviation of the predictive distribution. Where the evidence prefers coefficients of
+    zero the prior grows without end, and they are as good as zero."""
 
     columns: list[str]
     target: str
@@ -242,18 +243,23 @@ class BayesianRidge(RegressionScore):
     intercept: float = field(default=0.0, init=False)
 
     def fit(self, df: DataFrame) -> BayesianRidge:
-        m = moments(df, self.columns, self.target)
+        return self.fit_moments(moments(df, self.columns, self.target))
+
+    def fit_moments(self, m: Moments) -> BayesianRidge:
         if not m.n:
             raise ValueError("there are no rows to fit")
         values, v = np.linalg.eigh(m.xx)
         values, b = np.maximum(values, 0), v.T @ m.xy
-        noise, prior = m.n / max(m.yy, 1e-12), 1.0
+        least = max(np.finfo(float).eps * m.yy, 1e-200)  # what rounding leaves of a perfect fit
+        noise, prior = m.n / max(m.yy, least), 1.0
         for _ in range(self.iterations):
             w = noise * b / (noise * values + prior)
             gamma = (noise * values / (noise * values + prior)).sum()
-            rss = max(m.yy - 2 * w @ b + (values * w * w).sum(), 1e-12)
-            new = gamma / max(w @ w, 1e-12), (m.n - gamma) / rss
-            done = abs(new[0] - prior) <= 1e-6 * prior and abs(new[1] - noise) <= 1e-6 * noise
+            rss = max(m.yy - 2 * w @ b + (values * w * w).sum(), least)
+            if w @ w < 1e-200:
+                break
+            new = gamma / (w @ w), (m.n - gamma) / rss
+            done = abs(new[0] - prior) <= 1e-13 * prior and abs(new[1] - noise) <= 1e-13 * noise
             prior, noise = new
             if done:
                 break
